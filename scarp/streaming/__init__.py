@@ -1,0 +1 @@
+"""No streaming operators: every supported query is a batch query over finite tables."""
