@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, mixing, tokens
+from .common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +36,27 @@ SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, length(loss)::BIGINT
   sha256(loss) AS loss_sha256, size::BIGINT AS formatted_chars FROM joined
 """
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), vocabulary=50_257)
+    return tokens.read_tokens(spark, path)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op4_mixing": op4_mixing,
+    "op7_token_files": op7_token_files,
 }
 
 SQL = {
