@@ -20,19 +20,22 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES
 
-#: Pieces whose ids a worker remembers.
-CACHE_ENTRIES = 500_000
+#: Pieces whose ids a worker remembers in each of two generations.
+CACHE_ENTRIES = 150_000
+_STOPS = ".,;:!?"
+#: Byte-level tokenizers write a byte that is a printable character as itself and the others, in order, from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_VISIBLE = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r" \s|\s ")
 
 
 class Encoder:
     """Whole texts to ids with the tokenizers library, piece by piece.
 
     A byte-level pre-tokenizer always begins a token at a space between two characters that are
-    not white space, so a text's ids are those of the pieces cut there, one after another.
-    Pieces recur, and the library encodes each only once as long as it is remembered.
-    `whole=True` is for tokenizers for which that does not hold.
+    not white space, and a line feed between two such characters is a token of its own. So a
+    text's ids are those of the pieces cut there. Pieces recur; a worker remembers those of
+    late. `whole=True` is for tokenizers of other kinds: the library then gets the texts as they are.
     """
 
     def __init__(self, path: str, dtype: str, whole: bool = False):
@@ -44,24 +47,79 @@ class Encoder:
         self.tokenizer.no_padding()
         self.dtype, self.whole = dtype, whole
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        width = np.dtype(dtype).itemsize
+        self.written = [i.to_bytes(width, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, plain: str) -> bytes:
+        """Ids of one pre-token of letters, with or without a space before it."""
+        if not plain.isascii():
+            plain = plain.encode().decode("latin-1").translate(_VISIBLE)
+        elif plain[0] == " ":
+            plain = "\u0120" + plain[1:]
+        return b"".join([self.written[x.id] for x in self.model.tokenize(plain)])
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember pieces. Letters are one pre-token and the stops after them another, so those go
+        straight to the library's model; all else goes through its whole pipeline."""
+        rest = []
+        for p in pieces:
+            core = p.rstrip(_STOPS)
+            if not (core[1:] if core[:1] == "\0" else core).isalpha():
+                rest.append(p)
+                continue
+            found = self.known.get(core)
+            if found is None:
+                self.known[core] = found = self._word(_plain(core))
+            if len(core) < len(p):
+                tail = p[len(core) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._word(tail)
+                self.known[p] = found + self.tails[tail]
+        self.known.update(zip(rest, self._library([_plain(p) for p in rest]), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return self._library(texts)
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        cut = []
-        for text in texts:
-            pieces = _BETWEEN.split(text) if _ODD.search(text) else text.split(" ")
-            pieces[0] = "\0" + pieces[0]  # stands without a space before it
-            cut.append(pieces)
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        self.known.update(zip(new, self._library([p[1:] if p[:1] == "\0" else " " + p for p in new]), strict=True))
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+            self.known, self.older = {}, self.known
+        # "\0" marks what no space precedes: the first piece of each line
+        cut = [("\0" + text.replace("\n", " \n \0")).split(" ") if "\0" not in text else ["\0"] for text in texts]
+        new = set().union(*cut) - self.known.keys()
+        late = {p: self.older[p] for p in new & self.older.keys()}
+        self.known.update(late)
+        new = list(new - late.keys())
+        odd = {p for p in new if p[-1:].isspace() and p != "\n" or p[:1].isspace() and p != "\n" or p in ("", "\0") or p[1:2].isspace()}
+        self._learn([p for p in new if p not in odd] if odd else new)
+        of = self.known.__getitem__
+        if not odd:
+            return [b"".join(map(of, pieces)) for pieces in cut]
+        return [self._odd(text) if not odd.isdisjoint(pieces) else b"".join(map(of, pieces)) for text, pieces in zip(texts, cut, strict=True)]
+
+    def _odd(self, text: str) -> bytes:
+        """A text in which white space meets a space, or that begins or ends with one."""
+        first, *rest = _BETWEEN.split(text)
+        return b"".join(self._library([first, *(" " + p for p in rest)]))
+
+
+def _plain(piece: str) -> str:
+    return piece if piece == "\n" else piece[1:] if piece[0] == "\0" else " " + piece
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, dtype: str, whole: bool) -> Encoder:
+    """This worker process's own, so that tasks share what it remembers."""
+    key = (path, dtype, whole)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -76,7 +134,7 @@ def _write(path: str, tokenizer: str, end_id: int, dtype: str, whole: bool):
         part = task.partitionId()
         where, base = _open(path)
         trial = f"{base}/trial-{part}-{task.taskAttemptId()}"
-        encode = Encoder(tokenizer, dtype, whole)
+        encode = encoder(tokenizer, dtype, whole)
         end = np.array([end_id], dtype).tobytes()
         width = len(end)
         lengths, docs, nulls = [], [], 0
