@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontaminate, mixing, quality, simhash, tokens
+from . import chat, ctw, decontaminate, lines, mixing, passages, quality, secrets, simhash, tokens
 from .common import new_path
 
 
@@ -41,6 +41,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents, quality.train(documents, table(spark, sf_dir, "labels")))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = secrets.dictionary(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations"))
+    forest = secrets.train(secrets.example_findings(spark), words)
+    return secrets.scan(table(spark, sf_dir, "documents"), forest, words)
+
+
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
+def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "removed_chars", F.sha2(F.coalesce("cleaned", F.lit("")), 256).alias("cleaned_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
@@ -97,10 +112,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP6_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents),
+common AS (
+  SELECT line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 10),
+marked AS (
+  SELECT doc_id, place, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS counts, line IN (SELECT line FROM common) AS gone FROM lines)
+SELECT doc_id, count(*) FILTER (WHERE counts) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+  coalesce(sum(length(line)) FILTER (WHERE gone), 0)::BIGINT AS removed_chars,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS cleaned_sha256
+FROM marked GROUP BY doc_id
+"""
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
+    "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,
+    "op5_passages": op5_passages,
+    "op6_site_lines": op6_site_lines,
     "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
@@ -109,5 +140,6 @@ QUERIES = {
 
 SQL = {
     "op1_chat_format": _OP1_SQL,
+    "op6_site_lines": _OP6_SQL,
     "op9_decontaminate": _OP9_SQL,
 }
