@@ -27,7 +27,9 @@ FEATURES = ("length", "digits", "capitals", "changes", "distinct", "hex", "separ
 def candidates(documents: DataFrame) -> DataFrame:
     """doc_id, place (among the document's candidates), candidate, before, after for whole texts."""
     some = documents.select("doc_id", "text").filter(F.col("text").rlike(_CANDIDATE))
-    around = rf"(?<!{_CLASS})(?=[A-Za-z_+/=-]*[0-9])(?={_CLASS}{{16}})(?<=([^\n]{{0,{_BEFORE}}}))({_CLASS}+)(?=([^\n]{{0,{_AFTER}}}))"
+    # a lookbehind takes the shortest fit, so the context either fills its size or begins its line
+    before = rf"((?:^|(?<=\n))[^\n]{{0,{_BEFORE - 1}}}|[^\n]{{{_BEFORE}}})"
+    around = rf"(?<!{_CLASS})(?=[A-Za-z_+/=-]*[0-9])(?={_CLASS}{{16}})(?<={before})({_CLASS}+)(?=([^\n]{{0,{_AFTER}}}))"
     parts = [F.regexp_extract_all("text", F.lit(around), i).alias(n) for i, n in ((2, "candidate"), (1, "before"), (3, "after"))]
     zipped = some.select("doc_id", *parts).select("doc_id", F.posexplode(F.arrays_zip("candidate", "before", "after")).alias("place", "at"))
     return zipped.select("doc_id", "place", "at.*")
