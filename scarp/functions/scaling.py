@@ -23,7 +23,7 @@ def register_scaling(name: str, stretched: bool = False):
 
 @register_scaling("linear")
 def linear(d: Column, largest: Column) -> Column:
-    return F.when(F.coalesce(largest, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(d / largest)
+    return F.when(d.isNotNull(), F.when(F.coalesce(largest, F.lit(0.0)) == 0, F.lit(0.0)).otherwise(d / largest))
 
 
 @register_scaling("sigmoid", stretched=True)
@@ -50,21 +50,22 @@ def scale_pairs(pairs: DataFrame, metric: str, scaling: str = "linear", percenti
     if percentile is None:
         return _finish(pairs, raw, structure)
     if bound is not None:
-        clip = lambda d: F.least(F.greatest(d, F.lit(0.0)), F.lit(bound)) / bound
+        # least and greatest pass over nulls, so a missing distance is kept apart
+        clip = lambda d: F.when(d.isNotNull(), F.least(F.greatest(d, F.lit(0.0)), F.lit(bound)) / bound)
         return _finish(pairs, clip(raw), clip(structure))
     if scaling not in SCALINGS:
         raise ValueError(f"unknown scaling {scaling!r}; known: {', '.join(sorted(SCALINGS))}")
     builder, stretched = SCALINGS[scaling]
     cutoff = pairs.agg(F.percentile("distance_raw", F.lit(percentile / 100)).alias("_cutoff"))
     held = pairs.join(F.broadcast(cutoff))  # one row
-    clipped = F.least(raw, F.col("_cutoff"))
+    clipped = F.when(raw.isNotNull(), F.least(raw, F.col("_cutoff")))
     facts = held.agg(F.max(clipped).alias("_largest"), F.max("_cutoff").alias("_cut"))
     if stretched:
         largest = held.join(F.broadcast(facts)).select(builder(clipped, F.col("_largest")).alias("_t"))
         ends = largest.agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
         held = held.join(F.broadcast(facts)).join(F.broadcast(ends))
         span = F.col("_hi") - F.col("_lo")
-        value = F.when(span == 0, F.lit(0.0)).otherwise((builder(clipped, F.col("_largest")) - F.col("_lo")) / span)
+        value = F.when((span == 0) & raw.isNotNull(), F.lit(0.0)).otherwise((builder(clipped, F.col("_largest")) - F.col("_lo")) / span)
     else:
         held = held.join(F.broadcast(facts))
         value = builder(clipped, F.col("_largest"))
