@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from itertools import chain
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker takes apart at once; a longer text is taken alone.
 CHUNK_BYTES = 4 << 20
+#: Rows of an Arrow batch, fewer than Spark's own 10,000, as a row may be a long text.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +61,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with small batches; a worker gives unused memory back when a task ends.
+
+    Workers serve many tasks of all kinds, and what one has freed would else add to what the
+    next one needs.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a text column; null counts as empty."""
     col = batch.column(batch.schema.get_field_index(column))

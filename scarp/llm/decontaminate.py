@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, grams, materialize, mix, texts_of
+from .common import Words, chunks, grams, map_batches, materialize, mix, texts_of
 
 WINDOW = 10
 K = 5
@@ -87,7 +87,7 @@ def _item_windows(window: int):
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, size, hash (of a window's words), print (its least k-gram), place (of that in the window)."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_item_windows(window), "item_id long, size int, hash long, print long, place int")
+    return map_batches(rows, _item_windows(window), "item_id long, size int, hash long, print long, place int")
 
 
 class _Index:
@@ -188,7 +188,7 @@ def find_windows(documents: DataFrame, windows: DataFrame, columns: Sequence[str
         own = windows.filter(F.pmod(F.xxhash64("hash", "size"), F.lit(passes)) == i).toArrow()
         size, whole, first = (own.column(c).to_numpy().astype(np.int64) for c in ("size", "hash", "print"))
         index = spark.sparkContext.broadcast((size, whole.view(np.uint64), first.view(np.uint64)))
-        state = state.mapInArrow(_hits(index), state.schema)
+        state = map_batches(state, _hits(index), state.schema)
     return state.drop("text")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, grams, mix, texts_of
+from .common import Words, chunks, grams, map_batches, mix, texts_of
 
 #: The most labelled documents that the trees are grown on, drawn by a hash of the doc_id.
 TRAIN_ROWS = 20_000
@@ -120,7 +120,7 @@ class Trees:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, directions: Sequence[int], trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 64, penalty: float = 1.0, least: float = 5.0) -> Trees | None:
+def grow(x: np.ndarray, y: np.ndarray, directions: Sequence[int], trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 64, penalty: float = 1.0, least: float = 1.0) -> Trees | None:
     """Boost trees for y in {0, 1}; None if y has fewer than two values."""
     if len(np.unique(y)) < 2:
         return None
@@ -209,7 +209,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Tr
             _, x = statistics(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_good"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "good", "features"])
 
-    found = held.select(F.col("doc_id").cast("long"), "_good", F.col("text").cast("string")).mapInArrow(run, schema).limit(2 * rows).toPandas()
+    found = map_batches(held.select(F.col("doc_id").cast("long"), "_good", F.col("text").cast("string")), run, schema).limit(2 * rows).toPandas()
     if found.empty:
         return None
     x = np.stack(found["features"].to_list())
@@ -226,12 +226,15 @@ def assess(documents: DataFrame, model: Trees | None, columns: Sequence[str] = (
     words. One row for each row of documents, which may hold anything else besides.
     """
     names = [f"_c{i}" for i in range(len(columns))]
-    rows = documents.select(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], F.col("text").cast("string").alias("_text"))
+    given = [F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]
+    own = "text" not in columns  # a text that is returned anyway is not sent twice
+    text = "_text" if own else names[list(columns).index("text")]
+    rows = documents.select(*given, *[F.col("text").cast("string").alias("_text")] * own)
     limit = float(np.log(threshold / (1 - threshold)))
 
     def run(batches):
         for batch in batches:
-            counts, x = statistics(texts_of(batch, "_text"))
+            counts, x = statistics(texts_of(batch, text))
             failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
             score = model.score(x) if model else None
             kept = ~failed & (score >= limit) if model else ~failed
@@ -242,12 +245,13 @@ def assess(documents: DataFrame, model: Trees | None, columns: Sequence[str] = (
     fields = rows.drop("_text").schema
     for part in f"{_COUNT_SCHEMA}, base_failed boolean, score double, kept boolean".split(", "):
         fields = fields.add(*part.split(" "))
-    return rows.mapInArrow(run, fields).withColumnsRenamed(dict(zip(names, columns, strict=True)))
+    return map_batches(rows, run, fields).withColumnsRenamed(dict(zip(names, columns, strict=True)))
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their own columns."""
+    kept = assess(documents, train(documents, labels), documents.columns)
     names = documents.columns
-    held = documents.select(*[F.col(c).alias(f"_d{i}") for i, c in enumerate(names)], F.col("text"))
-    kept = assess(held, train(documents, labels), [f"_d{i}" for i in range(len(names))]).filter("kept")
-    return kept.select(*[F.col(f"_d{i}").alias(c) for i, c in enumerate(names)])
+    held = [f"_d{i}" for i in range(len(names))]  # the table may have columns named like the statistics
+    marked = kept.toDF(*held, *COUNTS, "base_failed", "score", "kept").filter("kept")
+    return marked.select(*[F.col(h).alias(c) for h, c in zip(held, names, strict=True)])

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, texts_of
+from .common import chunks, map_batches, materialize, texts_of
 from .graph import components
 
 DISTANCE = 3
@@ -51,7 +51,7 @@ def _fingerprints(k: int):
 def fingerprints(documents: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, hash (of the text), fp (signed 64 bits) for every document."""
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), F.col("text").cast("string"))
-    return rows.mapInArrow(_fingerprints(k), "doc_id long, hash long, fp long")
+    return map_batches(rows, _fingerprints(k), "doc_id long, hash long, fp long")
 
 
 def segment_shifts() -> list[tuple[int, int]]:
@@ -173,7 +173,7 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
     ordered = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    return ordered.mapInArrow(_link, "a long, b long")
+    return map_batches(ordered, _link, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, k: int = 3, block: int = BLOCK) -> DataFrame:

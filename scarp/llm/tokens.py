@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES
+from .common import CHUNK_BYTES, map_batches
 
 #: Pieces whose ids a worker remembers in each of two generations.
 CACHE_ENTRIES = 150_000
@@ -173,7 +173,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     where, base = _open(path)
     where.create_dir(base, recursive=True)
     ordered = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    written = ordered.mapInArrow(_write(path, tokenizer, end_id, dtype, whole), "part long, docs long, nulls long, ids long")
+    written = map_batches(ordered, _write(path, tokenizer, end_id, dtype, whole), "part long, docs long, nulls long, ids long")
     parts, base_ids = [], 0
     for row in sorted(written.collect()):  # a row per partition
         parts.append({"part": row["part"], "docs": row["docs"], "nulls": row["nulls"], "ids": row["ids"], "base": base_ids})
@@ -228,4 +228,4 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         index = json.loads(f.read())
     rows = [(p["part"], p["base"], p["nulls"]) for p in index["parts"]]
     parts = spark.createDataFrame(rows, "part long, base long, nulls long").repartition(max(1, len(rows)), "part")
-    return parts.mapInArrow(_read(path, index["dtype"]), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(parts, _read(path, index["dtype"]), "doc_id long, start long, n_tokens long, ids_crc32 long")
