@@ -46,7 +46,7 @@ def binned_pearson(pairs: DataFrame, width: float = 0.05) -> DataFrame:
     """Correlation of similarity and log_ratio in each bin of three pairs or more that vary."""
     aggregates = [
         F.count("*").alias("n_pairs"),
-        F.corr("similarity", "log_ratio").alias("r"),
+        F.covar_pop("similarity", "log_ratio").alias("cov"),
         F.avg("similarity").alias("ms"),
         F.avg("log_ratio").alias("ml"),
         F.stddev_pop("similarity").alias("ss"),
@@ -56,7 +56,7 @@ def binned_pearson(pairs: DataFrame, width: float = 0.05) -> DataFrame:
     enough = F.col("n_pairs") >= 3
     return out.select(
         "bin_lower", "bin_upper", ((F.col("bin_lower") + F.col("bin_upper")) / 2).alias("bin_center"), "n_pairs",
-        F.when(enough & (F.col("ss") > 1e-10) & (F.col("sl") > 1e-10), F.col("r")).alias("pearson_r"),
+        F.when(enough & (F.col("ss") > 1e-10) & (F.col("sl") > 1e-10), F.col("cov") / F.nullif(F.col("ss") * F.col("sl"), F.lit(0.0))).alias("pearson_r"),
         F.when(enough, F.col("ms")).alias("mean_similarity"), F.when(enough, F.col("ml")).alias("mean_log_ratio"),
     )
 
