@@ -473,12 +473,33 @@ def graph_components(spark, d):
     return graph.components(e, scale, 1.0)
 
 
-@query()
+# labels shrink to the smallest node they can reach, for all scales and levels at once
+_CURVE = f"""WITH RECURSIVE {_SCALES[5:]}, lv(l, level) AS (VALUES (1.0::FLOAT, 1.0::DOUBLE), (0.5::FLOAT, 0.5::DOUBLE), (0.3::FLOAT, 0.3::DOUBLE)),
+low AS (SELECT * FROM ed WHERE dpa < 1.0::FLOAT AND dist <= (SELECT max(scale) FROM sc)),
+h AS MATERIALIZED (SELECT a, b, dist, dpa FROM low UNION ALL SELECT b, a, dist, dpa FROM low),
+lab(s, l, n, c) USING KEY (s, l, n) AS (
+  SELECT scale, l, n, n FROM o, sc, lv
+  UNION
+  SELECT t.s, t.l, h.b, min(t.c) FROM lab t JOIN h ON h.a = t.n AND h.dist <= t.s AND h.dpa < t.l
+  JOIN recurring.lab x ON x.s = t.s AND x.l = t.l AND x.n = h.b WHERE t.c < x.c GROUP BY t.s, t.l, h.b),
+near AS (SELECT degree_target, scale, a, b, dpa FROM sc JOIN ed ON dist <= scale WHERE dpa IS NOT NULL),
+cnt AS (SELECT degree_target, scale, count(*) AS n_pairs, count(*) FILTER (WHERE dpa >= 1.0::FLOAT) AS n_cliffs FROM near GROUP BY 1, 2),
+apart AS (SELECT scale, x.l, avg((x.c <> y.c)::INT) AS f FROM near JOIN lab x ON x.s = scale AND x.n = a JOIN lab y ON y.s = scale AND y.n = b AND y.l = x.l WHERE dpa >= 1.0::FLOAT GROUP BY 1, 2),
+curve AS (SELECT degree_target, cnt.scale, level, n_pairs, n_cliffs, 2.0::DOUBLE * n_pairs / (SELECT count(*) FROM c) AS degree, f AS fraction
+  FROM cnt CROSS JOIN lv LEFT JOIN apart ON apart.scale = cnt.scale AND apart.l = lv.l)
+"""
+
+
+@query(f"{_CURVE} SELECT degree_target, round(scale::DOUBLE, 6) AS scale, level, n_pairs, n_cliffs, round(degree, 6) AS degree, round(fraction, 6) AS fraction FROM curve")
 def irreducibility_curve(spark, d):
     return rounded(graph.irreducibility(_edges(spark, d), _nodes(spark, d)).withColumn("scale", F.col("scale").cast("double")))
 
 
-@query()
+@query(f"""{_CURVE}, st AS (SELECT *, lead(degree) OVER w AS d1, lead(scale) OVER w AS s1, lead(fraction) OVER w AS f1 FROM curve WHERE fraction IS NOT NULL WINDOW w AS (PARTITION BY level ORDER BY degree)),
+x AS (SELECT level, count(*) AS k, arg_max(fraction, degree) AS last, min(degree) FILTER (WHERE (fraction - 0.5) * (f1 - 0.5) <= 0 AND fraction <> f1) AS d0 FROM st GROUP BY level)
+SELECT x.level, round(10 ** (log10(degree) + (fraction - 0.5) / (fraction - f1) * (log10(d1) - log10(degree))), 6) AS degree,
+  round((scale + (fraction - 0.5) / (fraction - f1) * (s1 - scale))::DOUBLE, 6) AS scale, CASE WHEN d0 IS NULL THEN CASE WHEN last > 0.5 THEN 'above' ELSE 'below' END END AS outside
+FROM x LEFT JOIN st ON st.level = x.level AND st.degree = x.d0 WHERE k >= 2""")
 def half_dissolution(spark, d):
     return rounded(graph.half_dissolution(graph.irreducibility(_edges(spark, d), _nodes(spark, d))))
 
