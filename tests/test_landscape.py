@@ -144,6 +144,22 @@ def test_a_path_of_small_steps_makes_a_cliff_reducible(spark):
     assert broken["fraction"] == 1
 
 
+def test_both_curves_agree(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, j, float(np.float32(rng.random())), float(np.float32(2 * rng.random()))) for i in range(14) for j in range(i + 1, 14)]
+    e = edge_table(spark, rows)
+    n = 0
+
+    def keep(df):
+        nonlocal n
+        n += 1
+        df.write.parquet(f"{tmp_path}/{n}")
+        return spark.read.parquet(f"{tmp_path}/{n}")
+
+    found = [sorted(map(tuple, t.select("degree_target", "level", "n_pairs", "n_cliffs", "degree", "fraction").collect()), key=str) for t in (graph.irreducibility(e, 14, degrees=(1.0, 3.0, 6.0)), graph.irreducibility_large(e, 14, keep, degrees=(1.0, 3.0, 6.0)))]
+    assert found[0] == found[1] and len(found[0]) == 9
+
+
 def test_levels_compare_as_floats(spark):
     e = edge_table(spark, [(0, 1, 0.1, 0.7), (1, 2, 0.1, 0.7), (0, 2, 0.1, 2.0)])
     got = graph.irreducibility(e, 3, degrees=(2.0,), levels=(0.7,)).filter("level = 0.7").first()
