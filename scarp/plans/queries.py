@@ -527,6 +527,13 @@ def h0_betti_curve(spark, d):
     return rounded(graph.betti_curve(_forest(spark, d), _nodes(spark, d), scales).withColumn("scale", F.col("scale").cast("double")))
 
 
+@query()
+def h0_betti_curve_all(spark, d):
+    """Components at all sampled scales; h0_betti_curve has the six smallest, as its SQL does."""
+    scales = graph.degree_scales(_edges(spark, d), _nodes(spark, d)).select("scale")
+    return rounded(graph.betti_curve(_forest(spark, d), _nodes(spark, d), scales).withColumn("scale", F.col("scale").cast("double")))
+
+
 def _frame(spark, rows: list[dict]) -> DataFrame:
     """A table of a fit's few numbers; doubles throughout but for text and flags."""
     clean = [{k: (v if isinstance(v, (str, bool)) or v is None else float(v)) for k, v in row.items()} for row in rows]
