@@ -7,9 +7,10 @@ estimate of its training counts, and the tree's weights mix the estimates of all
 
     P_w = P_e / 2 + (product of the children's P_w) / 2,    and P_w = P_e at a leaf.
 
-A node is kept if at least 1 / NODE_SHARE of all training bytes pass it (depths 0 and 1 always
-stay), so the model holds at most 8 * NODE_SHARE nodes at each depth, however large
-the corpus. What passes a node but none of its kept children forms one more child.
+Every context that occurs is a node, so the trees grow with the corpus; they are weighed on the
+driver and sent to all tasks, whose memory bounds them. With a node_share only nodes that at least
+1 / node_share of all training bytes pass are kept (depths 0 and 1 always
+stay). What passes a node but none of its kept children forms one more child.
 The mixture along a path of contexts only depends on its last kept node, so it is stored there
 and scoring looks up one node for each decision.
 """
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 from .common import chunks, map_batches, materialize, mix, texts_of
 
 DEPTH = 6
-#: A context node needs 1 / NODE_SHARE of the training bytes.
-NODE_SHARE = 1 << 19
 #: Words with at least 1 / WORD_SHARE of the training tokens, thus at most so many, are sent to all tasks; others are joined.
 WORD_SHARE = 1 << 22
 _WORD, _GRAM, _END = 0, 1, 2
@@ -142,7 +141,7 @@ def context_nodes(counts: DataFrame, depth: int, least: float) -> list[tuple[np.
     """For each depth (node, n0, n1) of the kept nodes, in order; a node is context * 256 + the bits so far after a 1.
 
     Contexts are cut byte by byte, each depth being summed up from the one below it, and only
-    the kept nodes come to the driver, at most 8 * NODE_SHARE for each depth.
+    the kept nodes come to the driver.
     """
     pairs = counts.filter(F.col("kind") == _GRAM).select(F.col("key").alias("pair"), "n")
     bits = [(k, (F.lit(1 << k) + F.shiftright("byte", 8 - k)), F.shiftright("byte", 7 - k).bitwiseAND(F.lit(1).cast("long"))) for k in range(8)]
@@ -152,7 +151,7 @@ def context_nodes(counts: DataFrame, depth: int, least: float) -> list[tuple[np.
             cut = F.shiftleft(F.shiftright("pair", 16), 8) + F.col("pair").bitwiseAND(F.lit(255).cast("long"))
             pairs = materialize(pairs.groupBy(cut.alias("pair")).agg(F.sum("n").alias("n")), "pairs")
         split = pairs.select(F.shiftright("pair", 8).alias("context"), F.col("pair").bitwiseAND(F.lit(255).cast("long")).alias("byte"), "n")
-        if d > 1:
+        if d > 1 and least > 1:
             wanted = split.groupBy("context").agg(F.sum("n").alias("total")).filter(F.col("total") >= least).select("context")
             split = split.join(wanted, "context", "left_semi")
         each = F.explode(F.array(*[F.struct(p.alias("prefix"), b.alias("bit")) for _, p, b in bits]))
@@ -219,6 +218,7 @@ def weigh(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple
         own = (b + 0.5) / (a + b + 1)
         out.append((names, mixed + remains * (weight[d] * own + (1 - weight[d]) * rest[d])))
         mixed, remains = mixed + remains * weight[d] * own, remains * (1 - weight[d])
+        levels[d] = weight[d] = rest[d] = parents[d] = None
     return out
 
 
@@ -306,7 +306,7 @@ def _score(model, frequent):
 _SCORED = "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"
 
 
-def score(documents: DataFrame, depth: int = DEPTH, node_share: int = NODE_SHARE, word_share: int = WORD_SHARE) -> DataFrame:
+def score(documents: DataFrame, depth: int = DEPTH, node_share: int | None = None, word_share: int = WORD_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Learns from the documents that are not held out and scores all, one row for each row.
@@ -323,7 +323,7 @@ def score(documents: DataFrame, depth: int = DEPTH, node_share: int = NODE_SHARE
     distinct = sum(facts[k]["v"] for k in (_WORD, _END) if k in facts)
     ends = facts[_END]["n"] if _END in facts else 0
     n_bytes = facts[_GRAM]["n"] if _GRAM in facts else 0
-    tree = weigh(context_nodes(counts, depth, n_bytes / node_share))
+    tree = weigh(context_nodes(counts, depth, n_bytes / node_share if node_share else 0))
     words = counts.filter((F.col("kind") == _WORD) & (F.col("n") * word_share >= total)).select("key", "n").toArrow()
     names = words.column("key").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(names)

@@ -135,3 +135,14 @@ def test_about_as_good_as_word_frequencies_on_a_small_corpus(spark):
 
     got = queries.op10_context_tree(spark, "/root/testdata/sf0.01").filter("held_out").toPandas()
     assert got.score.sum() > 1.01 * got.base_score.sum()
+
+
+def test_rare_contexts_stay_in_a_large_corpus(spark):
+    rng = random.Random(8)
+    rare = " ".join("".join(rng.choices("cdefghijklmnopqrstuvwxyz", k=7)) for _ in range(40))
+    training = [i for i in range(60) if not is_held(i)][:43]
+    held = next(i for i in range(100, 200) if is_held(i))
+    rows = [(i, "ab " * 18_000) for i in training[3:]] + [(i, rare) for i in training[:3]] + [(held, rare)]
+    assert sum(len(t) for _, t in rows) > 4 << 19  # three occurrences are fewer than 1 / 2^19 of it
+    got = {r["doc_id"]: r["bits_per_byte"] for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held] < 3
