@@ -138,7 +138,7 @@ def embed(spark: SparkSession, config: dict) -> str:
     rows.write.mode("overwrite").parquet(path)
     held = spark.read.parquet(path).filter("NOT censored")
     found = {"activity": _rows(held.agg(*stats.summary("log_activity")))[0]}
-    values = [r[0] for r in held.filter("log_activity IS NOT NULL").select("log_activity").limit(100_000).collect()]
+    values = held.filter("log_activity IS NOT NULL").select("log_activity").toArrow().column(0).to_numpy()
     if len(values) > 1:
         found["mixture"] = fits.mixture_fit(values)
     for m in methods:

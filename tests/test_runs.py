@@ -96,3 +96,11 @@ def test_pair_classifier(spark):
     vectors = probe.reduced(queries.compound_table(spark, SF), 4)
     got = probe.auc(probe.pair_features(queries.pair_table(spark, SF).filter(F.col("pos2") < 120), vectors))
     assert set(got) == {"logistic", "perceptron"} and all(0 <= v <= 1 for v in got.values())
+
+
+def test_embed_fits_the_mixture_to_all_values(spark, tmp_path):
+    path = tmp_path / "many.csv"
+    n = 100_500
+    path.write_text("smiles,activity\n" + "\n".join(f"C{i},{1 + i % 90}" for i in range(n)) + "\n")
+    stored = pipelines.embed(spark, {"dataset": str(path), "methods": ["hashed_ngrams"], "n_bits": 8, "output_file": str(tmp_path / "e.parquet")})
+    assert json.loads(Path(f"{stored}.summary.json").read_text())["mixture"]["n_values"] == n
