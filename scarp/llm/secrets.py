@@ -1,6 +1,6 @@
 """Secret scanning with a random forest that removes false positives.
 
-A pattern finds candidates with what stands around them; a forest trained on labelled findings
+A pattern finds candidates (long runs with a digit, and whatever is assigned to a secret word) with what stands around them; a forest trained on labelled findings
 judges each by its length, changes of character class, dictionary coverage, path-likeness and neighbouring words.
 The forest is flattened into CASE expressions, so scoring stays within SQL.
 """
@@ -21,15 +21,22 @@ _BEFORE, _AFTER = 40, 16
 #: Words that announce a secret, and words that announce other long values.
 _SECRET_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|auth|credential|private|bearer|access.?key)"
 _OTHER_WORDS = r"(?i)(sha\d*|md5|commit|checksum|digest|uuid|guid|order|card|phone|invoice|tracking|isbn|version|http|www)"
+#: An assignment to a name with a secret word, and what is assigned: up to the closing quote, or to the next space or quote.
+_ASSIGNED = r"(?:" + _SECRET_WORDS.replace("(?i)(", "(?i:") + r"[\w.-]{0,20}[\"']?[ \t]{0,3}[:=][ \t]{0,3})"
+_BARE = r"[^\s\"']*[^\s\"',;.:)\]}]"
 FEATURES = ("length", "digits", "capitals", "changes", "distinct", "hex", "separators", "slashes", "covered", "secret_word", "other_word", "assigned", "quoted")
 
 
 def candidates(documents: DataFrame) -> DataFrame:
     """doc_id, place (among the document's candidates), candidate, before, after for whole texts."""
-    some = documents.select("doc_id", "text").filter(F.col("text").rlike(_CANDIDATE))
+    some = documents.select("doc_id", "text").filter(F.col("text").rlike(_CANDIDATE) | F.col("text").rlike(rf"{_ASSIGNED}[\"']?[^\s\"']"))
     # a lookbehind takes the shortest fit, so the context either fills its size or begins its line
     before = rf"((?:^|(?<=\n))[^\n]{{0,{_BEFORE - 1}}}|[^\n]{{{_BEFORE}}})"
-    around = rf"(?<!{_CLASS})(?=[A-Za-z_+/=-]*[0-9])(?={_CLASS}{{16}})(?<={before})({_CLASS}+)(?=([^\n]{{0,{_AFTER}}}))"
+    run = rf"(?<!{_CLASS})(?=[A-Za-z_+/=-]*[0-9])(?={_CLASS}{{16}})"
+    # whatever is assigned to a secret word, of any length and sign; the first test is a cheap one
+    values = [rf"(?<={_ASSIGNED}{q})(?![{q} \t])[^{q}\n]+(?={q})" for q in "\"'"] + [rf"(?<={_ASSIGNED}[\"']?){_BARE}"]
+    given = rf"(?<=[:=][ \t]{{0,3}}[\"']?)(?:{'|'.join(f'(?={v})' for v in values)})"
+    around = rf"(?:{run}|{given})(?<={before})({'|'.join(values)}|{_CLASS}+)(?=([^\n]{{0,{_AFTER}}}))"
     parts = [F.regexp_extract_all("text", F.lit(around), i).alias(n) for i, n in ((2, "candidate"), (1, "before"), (3, "after"))]
     zipped = some.select("doc_id", *parts).select("doc_id", F.posexplode(F.arrays_zip("candidate", "before", "after")).alias("place", "at"))
     return zipped.select("doc_id", "place", "at.*")
@@ -89,12 +96,17 @@ def example_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     word = F.element_at(F.array(*[F.lit(x) for x in ("token", "api_key", "secret", "password", "access_key", "auth_token")]), (F.pmod(F.xxhash64("id"), F.lit(6)) + 1).cast("int"))
     other = F.element_at(F.array(*[F.lit(x) for x in ("commit", "sha256", "order", "checksum", "the", "number", "version", "see")]), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(8)) + 1).cast("int"))
     name = F.concat(F.lit("release_notes_for_"), F.lit("build-"), F.substring(number, 1, 4))
+    password = F.concat(F.lit("Tr"), F.substring(a, 1, 5), F.lit("&"), F.substring(b, 1, 2), F.lit("!"))
+    plain = F.element_at(F.array(*[F.lit(x) for x in ("required", "none", "the", "changed", "your", "missing")]), (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(6)) + 1).cast("int"))
     path = F.concat(F.lit("usr/share/data/part-"), F.substring(number, 1, 5))
     kinds = [
         (F.substring(a, 1, 40), F.concat(word, F.lit(' = "')), F.lit('"'), 1),
         (F.substring(a, 1, 32), F.concat(word, F.lit(": ")), F.lit(" "), 1),
         (base64, F.concat(word, F.lit("=")), F.lit(""), 1),
         (F.concat(F.lit("sk-"), base64), F.concat(F.lit("use "), word, F.lit(' "')), F.lit('",'), 1),
+        (password, F.concat(word, F.lit(' = "')), F.lit('"'), 1),
+        (password, F.concat(word, F.lit(": ")), F.lit(""), 1),
+        (plain, F.concat(word, F.lit(": ")), F.lit(" by"), 0),
         (number, F.concat(other, F.lit(" ")), F.lit(" and"), 0),
         (number, F.concat(word, F.lit(" of ")), F.lit(" the"), 0),
         (F.substring(a, 1, 40), F.concat(other, F.lit(" ")), F.lit(" was"), 0),

@@ -41,3 +41,12 @@ def test_scoring_is_native(spark):
     docs = spark.createDataFrame([(1, "token = \"" + "0a1b" * 10 + "\"")], "doc_id long, text string")
     plan = secrets.scan(docs, trees, words)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_assigned_secrets_of_any_length_and_sign(spark):
+    trees, words = forest(spark)
+    wanted = ["Tr0ub4dor&3!", "hunter2", "abcdefghijklmnopqrstuvwx"]
+    texts = ['x password = "Tr0ub4dor&3!" y', "db_password: hunter2, next", "API_KEY='abcdefghijklmnopqrstuvwx'", "the password: required by all", "a token of 12 and the time: 10:30"]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trees, words).collect()}
+    assert [got[i]["candidate"] for i in range(3)] == wanted and set(got) == {0, 1, 2, 3}
+    assert got[0]["is_secret"] and not got[3]["is_secret"]
