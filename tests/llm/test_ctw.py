@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from scarp.llm import ctw
 
 
@@ -13,10 +15,9 @@ def kt(a, b):
 class Brute:
     """Context-tree weighting by recursion over dictionaries of byte contexts."""
 
-    def __init__(self, streams, depth, share):
+    def __init__(self, streams, depth):
         self.depth, self.counts = depth, defaultdict(lambda: [0, 0])
-        self.children = defaultdict(set)
-        total = sum(map(len, streams))
+        self.children, self.memo = defaultdict(set), {}
         for s in streams:
             data = bytes(depth) + s
             for i in range(depth, len(data)):
@@ -24,44 +25,29 @@ class Brute:
                 for d in range(depth + 1):
                     for k in range(8):
                         self.counts[data[i - d : i], (1 << k) | (x >> (8 - k))][x >> (7 - k) & 1] += 1
-        self.kept = {k for k, n in self.counts.items() if len(k[0]) <= 1 or sum(n) * share >= total}
-        for context, prefix in self.kept:
+        for context, prefix in self.counts:
             if context:
                 self.children[context[1:], prefix].add((context, prefix))
-        self.memo = {}
-
-    def rest(self, node):
-        n0, n1 = self.counts[node]
-        for c in self.children[node]:
-            n0, n1 = n0 - self.counts[c][0], n1 - self.counts[c][1]
-        return n0, n1
 
     def weighted(self, node):
         if node not in self.memo:
-            own = kt(*self.counts[node])
+            self.memo[node] = own = kt(*self.counts[node])
             if self.children[node]:
-                below = kt(*self.rest(node)) + sum(self.weighted(c) for c in self.children[node])
+                below = sum(self.weighted(c) for c in self.children[node])
                 top = max(own, below)
                 self.memo[node] = top + math.log((math.exp(own - top) + math.exp(below - top)) / 2)
-            else:
-                self.memo[node] = own
         return self.memo[node]
 
     def one(self, past, prefix, d=0):
         node = past[len(past) - d :], prefix
-        if node not in self.kept:
+        if node not in self.counts:
             return 0.5
         n0, n1 = self.counts[node]
         own = (n1 + 0.5) / (n0 + n1 + 1)
-        if not self.children[node]:
+        if d == self.depth:
             return own
         w = math.exp(kt(n0, n1) - math.log(2) - self.weighted(node))
-        if d < self.depth and (past[len(past) - d - 1 :], prefix) in self.kept:
-            below = self.one(past, prefix, d + 1)
-        else:
-            r0, r1 = self.rest(node)
-            below = (r1 + 0.5) / (r0 + r1 + 1)
-        return w * own + (1 - w) * below
+        return w * own + (1 - w) * self.one(past, prefix, d + 1)
 
     def score(self, s):
         data, total = bytes(self.depth) + s, 0.0
@@ -72,24 +58,59 @@ class Brute:
         return total
 
 
-def corpus():
+def corpus(n=40):
     rng = random.Random(4)
     words = ["the", "Thing", "an", "é", "ñandú", "x1", "中"]
-    return [(i, " ".join(rng.choices(words + [f"u{rng.randrange(50)}"], k=rng.randrange(12)))) for i in range(40)] + [(100, None), (101, ""), (102, "zzz qqq\n zzz")]
+    return [(i, " ".join(rng.choices(words + [f"u{rng.randrange(50)}"], k=rng.randrange(12)))) for i in range(n)] + [(1000, None), (1001, ""), (1002, "zzz qqq\n zzz")]
 
 
 def is_held(i):
     return zlib.crc32(str(i).encode()) % 5 == 1
 
 
-def test_scores_equal_a_recursive_tree(spark):
-    docs = corpus()
+@pytest.mark.parametrize(("n", "depth", "frequent"), [(40, 1, 1 << 20), (40, 2, 0), (40, 3, 100), (5, 6, 1 << 20), (40, 6, 0), (300, 6, 300), (300, 4, 1 << 20), (40, 5, 20)])
+def test_scores_equal_a_recursive_tree(spark, n, depth, frequent):
+    """With all, some or none of the grams sent to the tasks, at several sizes of the corpus."""
+    docs = corpus(n)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     streams = {i: ctw.stream((t or "").encode().lower().split()) for i, t in docs}
-    for depth, share in ((2, 1 << 20), (3, 300), (6, 100)):
-        tree = Brute([s for i, s in streams.items() if not is_held(i)], depth, share)
-        for r in ctw.score(df, depth, share).collect():
-            assert math.isclose(r["score"], tree.score(streams[r["doc_id"]]), rel_tol=1e-9)
+    tree = Brute([s for i, s in streams.items() if not is_held(i)], depth)
+    for r in ctw.score(df, depth, frequent).collect():
+        assert math.isclose(r["score"], tree.score(streams[r["doc_id"]]), rel_tol=1e-9)
+
+
+def test_small_chunks_change_nothing(spark, monkeypatch):
+    """Counts and trees that are handled a few rows at a time."""
+    import numpy as np
+
+    streams = [ctw.stream((t or "").encode().lower().split()) for _, t in corpus()]
+    tally = ctw.Tally()
+    monkeypatch.setattr(ctw, "_GATHER", 7)
+    for s in streams:
+        tally.add(ctw.Stream([s], 4).gram)
+    keys, counts = tally.take()
+    want, n = np.unique(ctw.Stream(streams, 4).gram, return_counts=True)
+    assert keys.tolist() == want.tolist() and counts.tolist() == n.tolist()
+    part = (keys >> np.uint64(16)).astype(np.int64)
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"part": part[i : i + 5], "key": keys[i : i + 5].view(np.int64)}) for i in range(0, len(keys), 5)]
+    groups = list(ctw._groups(batches, ["part", "key"], "part", 12))
+    assert len(groups) > 5 and np.concatenate([g[1] for g in groups]).tolist() == keys.tolist()
+    assert all(a[0][-1] < b[0][0] for a, b in zip(groups, groups[1:], strict=False))
+
+
+def test_sent_values_are_found():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(rng.integers(0, 1 << 56, n))
+        sent = ctw.Sent(keys, keys * 0.5)
+        asked = np.concatenate((keys, keys + 1, [0, 5])).view(np.uint64)
+        value, hit = sent.find(asked)
+        assert hit.tolist() == np.isin(asked.view(np.int64), keys).tolist()
+        assert (value == np.where(hit, asked.view(np.int64) * 0.5, 0.0)).all()
 
 
 def test_base_scores_and_counts(spark):
@@ -99,8 +120,8 @@ def test_base_scores_and_counts(spark):
         if not is_held(i):
             c.update([*(t or "").encode().lower().split(), None])
     n, v = sum(c.values()), len(c)
-    for word_share in (1 << 22, 20):  # all words sent out, or most of them joined
-        for r in ctw.score(spark.createDataFrame(docs, "doc_id long, text string"), word_share=word_share).collect():
+    for frequent in (1 << 20, 5):  # all words sent out, or most of them joined
+        for r in ctw.score(spark.createDataFrame(docs, "doc_id long, text string"), frequent=frequent).collect():
             w = [*(dict(docs)[r["doc_id"]] or "").encode().lower().split(), None]
             assert math.isclose(r["base_score"], sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
             assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(c[x] > 0 for x in w), n, is_held(r["doc_id"]))
@@ -111,11 +132,14 @@ def test_predictions_add_up_to_one(spark):
 
     streams = [ctw.stream((t or "").encode().lower().split()) for _, t in corpus()]
     unique, n = np.unique(ctw.Stream(streams, 3).gram, return_counts=True)
-    counts = spark.createDataFrame([(ctw._GRAM, int(g), int(k)) for g, k in zip(unique, n)], "kind int, key long, n long")
-    model = ctw.weigh(ctw.context_nodes(counts, 3, 3.0))
-    for context in (b"eht", bytes(3), b"\xffqq"):  # the latest byte first
-        grams = (np.uint64(int.from_bytes(context, "big")) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert abs((10 ** ctw.gram_scores(grams, model)).sum() - 1) < 1e-9
+    counts = dict(zip(unique.tolist(), n.tolist(), strict=True))
+    contexts = (b"eht", bytes(3), b"\xffqq")  # the latest byte first
+    asked = {(int.from_bytes(c, "big") << 8) | b for c in contexts for b in range(256)}
+    rows = [(g, counts.get(g, 0), 1) for g in asked | counts.keys()]
+    got = {r["key"]: r["value"] for r in ctw.gram_scores(spark.createDataFrame(rows, "key long, n long, seen long"), 3).collect()}
+    assert len(got) == len(rows)
+    for c in contexts:
+        assert abs(sum(10 ** got[(int.from_bytes(c, "big") << 8) | b] for b in range(256)) - 1) < 1e-9
 
 
 def test_word_hashes_tell_words_apart():
