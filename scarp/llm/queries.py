@@ -69,7 +69,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
-    tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), vocabulary=50_257)
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return tokens.read_tokens(spark, path)
 
 
