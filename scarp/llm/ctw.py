@@ -28,7 +28,7 @@ from .common import chunks, map_batches, materialize, mix, texts_of
 
 DEPTH = 6
 #: Grams, and words, that are sent to all tasks: 16 bytes each.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 21
 _WORD, _GRAM, _END = 0, 1, 2
 #: Occurrences that are gathered before they are counted, and counts that are held before they are handed on.
 _GATHER, _FLUSH = 4_000_000, 3_000_000
