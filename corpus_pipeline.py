@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write token files and return what is read back from them."""
     path = new_path(spark, "tokens")
-    tokens.write_tokens(docs, path, queries.tokenizer_path(), vocabulary=50_257)
+    tokens.write_tokens(docs, path, queries.tokenizer_path())
     return tokens.read_tokens(spark, path)
 
 
