@@ -101,6 +101,25 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES):
         yield first, len(texts)
 
 
+def sorted_groups(batches, columns: list[str], key: str | tuple[str, ...], least: int = 200_000):
+    """Columns of rows that come sorted by `key`, whole groups of equal keys at a time, `least` rows or more."""
+    keys = [columns.index(k) for k in ((key,) if isinstance(key, str) else key)]
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in columns])
+        size += batch.num_rows
+        if size < least:
+            continue
+        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+        last = int(np.argmax(np.logical_and.reduce([whole[k] == whole[k][-1] for k in keys])))
+        if last:
+            yield [c[:last] for c in whole]
+        held, size = [[c[last:] for c in whole]], size - last
+    if size:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 class Words:
     """The words of some texts as numbers: text t has ids[bounds[t]:bounds[t + 1]]."""
 

@@ -12,7 +12,7 @@ the grams (a byte after DEPTH others) of all texts are counted, dealt out by the
 weighed from the leaves up, a few depths at a time; what the shallower contexts mix to is handed
 back down, and each gram gets its one log probability. A gram that only held-out texts have meets
 nodes without counts, which predict 1/2. The texts then add up their grams: the most
-frequent FREQUENT grams are sent to all tasks, every other one is joined.
+frequent FREQUENT_GRAMS are sent to all tasks, every other one is joined.
 """
 
 from __future__ import annotations
@@ -24,16 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_batches, materialize, mix, texts_of
+from .common import chunks, map_batches, materialize, mix, sorted_groups, texts_of
 
 DEPTH = 6
-#: Grams, and words, that are sent to all tasks: 16 bytes each.
-FREQUENT = 1 << 21
+#: Grams and words that are sent to all tasks at most: 16 bytes each. All others are joined.
+FREQUENT_GRAMS, FREQUENT_WORDS = 1 << 21, 1 << 18
 _WORD, _GRAM, _END = 0, 1, 2
 #: Occurrences that are gathered before they are counted, and counts that are held before they are handed on.
 _GATHER, _FLUSH = 4_000_000, 3_000_000
-#: Rows that are weighed at once; the contexts that share their latest bytes stay together.
-_WEIGH = 200_000
 #: Counts are compared in 16 steps for each doubling when the most frequent ones are chosen.
 _STEPS = 16
 
@@ -280,25 +278,6 @@ class Leaves:
         return out
 
 
-def _groups(batches, columns: list[str], key: str, least: int = _WEIGH):
-    """Columns of rows that come sorted by `key`, some groups at a time."""
-    held: list[list[np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        held.append([batch.column(c).to_numpy() for c in columns])
-        size += batch.num_rows
-        if size < least:
-            continue
-        whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-        groups = whole[columns.index(key)]
-        last = int(np.searchsorted(groups, groups[-1]))
-        if last:
-            yield [c[:last] for c in whole]
-        held, size = [[c[last:] for c in whole]], size - last
-    if size:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
 def _nodes(*columns, names=("name", "n0", "n1", "total")) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list(names))
 
@@ -308,7 +287,7 @@ _NODES = "name long, n0 double, n1 double, total double"
 
 def _rise_from_grams(steps: int):
     def run(batches):
-        for _, gram, n in _groups(batches, ["part", "key", "n"], "part"):
+        for _, gram, n in sorted_groups(batches, ["part", "key", "n"], "part"):
             top = _rise(Leaves(gram, n).level, steps)[-1]
             yield _nodes(top.name, top.n0, top.n1, top.total)
 
@@ -317,7 +296,7 @@ def _rise_from_grams(steps: int):
 
 def _rise_from_nodes(steps: int):
     def run(batches):
-        for _, *node in _groups(batches, ["part", "name", "n0", "n1", "total"], "part"):
+        for _, *node in sorted_groups(batches, ["part", "name", "n0", "n1", "total"], "part"):
             top = _rise(Level.known(*node), steps)[-1]
             yield _nodes(top.name, top.n0, top.n1, top.total)
 
@@ -329,7 +308,7 @@ def _through_nodes(steps: int, top):
 
     def run(batches):
         names, mixed, left = top.value
-        for _, *node in _groups(batches, ["part", "name", "n0", "n1", "total"], "part"):
+        for _, *node in sorted_groups(batches, ["part", "name", "n0", "n1", "total"], "part"):
             levels = _rise(Level.known(*node), steps)
             at = np.searchsorted(names, _shorter(levels[-1].name))
             levels[-1].enter(mixed[at], left[at])
@@ -343,7 +322,7 @@ def _score_grams(steps: int):
     """Rows of both kinds come by part: first what its shallowest nodes are entered with, then its grams."""
 
     def run(batches):
-        for _, kind, key, a, b in _groups(batches, ["part", "kind", "key", "a", "b"], "part"):
+        for _, kind, key, a, b in sorted_groups(batches, ["part", "kind", "key", "a", "b"], "part"):
             entered, grams = kind == 0, kind == 1
             gram = key[grams]
             if not len(gram):
@@ -491,7 +470,7 @@ _SCORED = (
 )
 
 
-def score(documents: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT) -> DataFrame:
+def score(documents: DataFrame, depth: int = DEPTH, frequent: tuple[int, int] = (FREQUENT_GRAMS, FREQUENT_WORDS)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Learns from the documents that are not held out and scores all, one row for each row; equal rows
@@ -508,9 +487,9 @@ def score(documents: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT) ->
     total = sum(facts[k]["n"] for k in (_WORD, _END) if k in facts)
     distinct = sum(facts[k]["v"] for k in (_WORD, _END) if k in facts)
     ends = facts[_END]["n"] if _END in facts else 0
-    grams, rare_grams = send(gram_scores(counts.filter(F.col("kind") == _GRAM).drop("kind"), depth), frequent)
+    grams, rare_grams = send(gram_scores(counts.filter(F.col("kind") == _GRAM).drop("kind"), depth), frequent[0])
     of_words = counts.filter(F.col("kind") == _WORD).select("key", "seen", F.log10(F.col("n") + F.lit(0.5)).alias("value"))
-    words, rare_words = send(of_words, frequent)
+    words, rare_words = send(of_words, frequent[1])
     sent = [spark.sparkContext.broadcast(x) for x in (grams, words)]
     scored = materialize(map_batches(rows, _score(depth, *sent), _SCORED), "scored")
 

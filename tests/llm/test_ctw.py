@@ -75,7 +75,7 @@ def test_scores_equal_a_recursive_tree(spark, n, depth, frequent):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     streams = {i: ctw.stream((t or "").encode().lower().split()) for i, t in docs}
     tree = Brute([s for i, s in streams.items() if not is_held(i)], depth)
-    for r in ctw.score(df, depth, frequent).collect():
+    for r in ctw.score(df, depth, (frequent, frequent)).collect():
         assert math.isclose(r["score"], tree.score(streams[r["doc_id"]]), rel_tol=1e-9)
 
 
@@ -95,7 +95,7 @@ def test_small_chunks_change_nothing(spark, monkeypatch):
     import pyarrow as pa
 
     batches = [pa.RecordBatch.from_pydict({"part": part[i : i + 5], "key": keys[i : i + 5].view(np.int64)}) for i in range(0, len(keys), 5)]
-    groups = list(ctw._groups(batches, ["part", "key"], "part", 12))
+    groups = list(ctw.sorted_groups(batches, ["part", "key"], "part", 12))
     assert len(groups) > 5 and np.concatenate([g[1] for g in groups]).tolist() == keys.tolist()
     assert all(a[0][-1] < b[0][0] for a, b in zip(groups, groups[1:], strict=False))
 
@@ -120,7 +120,7 @@ def test_base_scores_and_counts(spark):
         if not is_held(i):
             c.update([*(t or "").encode().lower().split(), None])
     n, v = sum(c.values()), len(c)
-    for frequent in (1 << 20, 5):  # all words sent out, or most of them joined
+    for frequent in ((1 << 20, 1 << 20), (5, 5)):  # all words sent out, or most of them joined
         for r in ctw.score(spark.createDataFrame(docs, "doc_id long, text string"), frequent=frequent).collect():
             w = [*(dict(docs)[r["doc_id"]] or "").encode().lower().split(), None]
             assert math.isclose(r["base_score"], sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
