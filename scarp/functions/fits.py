@@ -213,28 +213,34 @@ def beta_distance(a: float, b: float, lo: float, hi: float, n: int, counts: np.n
     }
 
 
-def mixture_fit(values: np.ndarray, rounds: int = 500) -> dict:
-    """p * Normal(mu, sigma) + (1 - p) * Uniform(min, max) by expectation-maximization."""
+def mixture_fit(values: np.ndarray, counts: np.ndarray | None = None, lo: float | None = None, hi: float | None = None, rounds: int = 500) -> dict:
+    """p * Normal(mu, sigma) + (1 - p) * Uniform(min, max) by expectation-maximization.
+
+    values may be the means of fine bins with `counts` in each, and lo, hi the ends of the values themselves.
+    """
     x = np.asarray(values, float)
-    x = x[np.isfinite(x)]
-    if len(x) < 2:
+    w = np.ones(len(x)) if counts is None else np.asarray(counts, float)
+    x, w = x[np.isfinite(x)], w[np.isfinite(x)]
+    n = float(w.sum())
+    if n < 2:
         raise ValueError("a mixture needs two values at least")
-    lo, hi, mu, sigma, p = x.min(), x.max(), x.mean(), max(x.std(), 1e-12), 0.7
+    lo, hi, mu = (x.min() if lo is None else lo), (x.max() if hi is None else hi), float((w * x).sum() / n)
+    sigma, p = max(math.sqrt(float((w * (x - mu) ** 2).sum() / n)), 1e-12), 0.7
     flat = 1 / (hi - lo) if hi > lo else 1.0
     last = -np.inf
     for _ in range(rounds):
         bell = p * np.exp(-((x - mu) ** 2) / (2 * sigma * sigma)) / (sigma * math.sqrt(2 * math.pi))
         total = np.maximum(bell + (1 - p) * flat, 1e-300)
-        ll = float(np.log(total).sum())
+        ll = float((w * np.log(total)).sum())
         if ll - last < 1e-10 * abs(ll):
             break
         last = ll
-        share = bell / total
+        share = w * bell / total
         weight = share.sum()
-        p, mu = float(share.mean()), float((share * x).sum() / weight)
+        p, mu = float(weight / n), float((share * x).sum() / weight)
         sigma = max(math.sqrt(float((share * (x - mu) ** 2).sum() / weight)), 1e-9)
-    aic, bic = information(ll, 5, len(x))
-    return {"p": p, "mu": mu, "sigma": sigma, "a": float(lo), "b": float(hi), "n_values": len(x), "log_likelihood": ll, "aic": aic, "bic": bic}
+    aic, bic = information(ll, 5, n)
+    return {"p": p, "mu": mu, "sigma": sigma, "a": float(lo), "b": float(hi), "n_values": int(n), "log_likelihood": ll, "aic": aic, "bic": bic}
 
 
 def mixture_quantile(q: float, f: dict) -> float:
@@ -257,81 +263,84 @@ def exponential_fit(n: int, mean: float) -> dict:
     return {"scale": mean, "log_likelihood": ll, "aic": aic, "bic": bic}
 
 
-def weibull_fit(values: np.ndarray, rounds: int = 200) -> dict:
-    """Shape and scale with location 0, by Newton's method on the shape."""
-    x = np.asarray(values, float)
-    x = x[x > 0]
-    logs, k = np.log(x), 1.0
+def weibull_fit(logs: np.ndarray, counts: np.ndarray | None = None, rounds: int = 200) -> dict:
+    """Shape and scale with location 0, by Newton's method on the shape, from logs of the values (or bins' mean logs with counts)."""
+    logs = np.asarray(logs, float)
+    c = np.ones(len(logs)) if counts is None else np.asarray(counts, float)
+    n, mean, k = float(c.sum()), float((c * logs).sum() / c.sum()), 1.0
+    centred = logs - mean  # scale the values to a geometric mean of 1, so that no power overflows
     for _ in range(rounds):
-        w = x**k
-        s0, s1, s2 = w.sum(), (w * logs).sum(), (w * logs * logs).sum()
-        step = (s1 / s0 - 1 / k - logs.mean()) / ((s2 * s0 - s1 * s1) / (s0 * s0) + 1 / (k * k))
+        w = c * np.exp(k * centred)
+        s0, s1, s2 = w.sum(), (w * centred).sum(), (w * centred * centred).sum()
+        step = (s1 / s0 - 1 / k) / ((s2 * s0 - s1 * s1) / (s0 * s0) + 1 / (k * k))
         k = k - step if k - step > 0 else k / 2
         if abs(step) < 1e-12 * k:
             break
-    scale = float((x**k).mean() ** (1 / k))
-    ll = float(len(x) * (math.log(k) - k * math.log(scale)) + (k - 1) * logs.sum() - ((x / scale) ** k).sum())
-    aic, bic = information(ll, 2, len(x))
-    return {"shape": float(k), "scale": scale, "log_likelihood": ll, "aic": aic, "bic": bic}
+    power = float((c * np.exp(k * centred)).sum())
+    log_scale = mean + math.log(power / n) / k
+    ll = n * (math.log(k) - k * log_scale) + (k - 1) * n * mean - power * math.exp(k * (mean - log_scale))
+    aic, bic = information(ll, 2, n)
+    return {"shape": float(k), "scale": math.exp(log_scale), "log_likelihood": float(ll), "aic": aic, "bic": bic}
 
 
 def dip(values: np.ndarray) -> float:
-    """Hartigan's dip: half the least gap between a sample's distribution and a unimodal one.
+    """Hartigan's dip: the least distance between a sample's distribution and any unimodal one.
 
-    For each candidate mode the greatest convex minorant to its left and the least concave
-    majorant to its right are taken as hulls of the empirical steps; the dip is the least, over
-    modal intervals, of the largest distance.
+    With its mode at a sample point, a unimodal distribution is convex before and concave after it. Below
+    the mode the nearest convex function is half-way between the sample's steps and the greatest convex minorant of their
+    feet; above it, likewise with the least concave majorant of their tops. The first distance grows with the
+    mode and the second falls, so the least larger one is found by bisection.
     """
-    x = np.sort(np.asarray(values, float))
-    n = len(x)
-    if n < 4 or x[0] == x[-1]:
-        return 1 / (2 * n) if n else 0.0
-    low, high, best = 0, n - 1, 0.0
-    ranks = np.arange(1, n + 1)
-    while True:
-        g = _hull(x[low : high + 1], ranks[low : high + 1], False) + low
-        h = _hull(x[low : high + 1], ranks[low : high + 1], True) + low
-        on_g = np.interp(x[h], x[g], ranks[g])
-        on_h = np.interp(x[g], x[h], ranks[h])
-        gap_h = ranks[h] - on_g
-        gap_g = on_h - ranks[g]
-        i, j = int(np.argmax(gap_g)), int(np.argmax(gap_h))
-        if gap_g[i] > gap_h[j]:
-            widest, new_low = gap_g[i], g[i]
-            new_high = h[np.searchsorted(x[h], x[g[i]], side="left")]
+    x, counts = np.unique(np.asarray(values, float), return_counts=True)
+    n = int(counts.sum())
+    if not n:
+        return 0.0
+    tops = np.cumsum(counts) / n
+    feet = tops - counts / n
+
+    def before(m: int) -> float:
+        return _off(x[: m + 1], feet[: m + 1], tops[: m + 1])
+
+    def after(m: int) -> float:
+        return _off(-x[m:][::-1], 1 - tops[m:][::-1], 1 - feet[m:][::-1])
+
+    low, high = 0, len(x) - 1
+    while low < high:
+        mid = (low + high) // 2
+        if before(mid) >= after(mid):
+            high = mid
         else:
-            widest, new_high = gap_h[j], h[j]
-            new_low = g[max(0, np.searchsorted(x[g], x[h[j]], side="right") - 1)]
-        if widest <= best + 1:
-            break
-        left = ranks[low : new_low + 1] - np.interp(x[low : new_low + 1], x[g], ranks[g])
-        right = np.interp(x[new_high : high + 1], x[h], ranks[h]) - ranks[new_high : high + 1]
-        best = max(best, float(left.max(initial=0.0)) - 0.0, float(right.max(initial=0.0)))
-        if (new_low, new_high) == (low, high) or new_low >= new_high:
-            break
-        low, high = new_low, new_high
-    return max(best, 1.0) / (2 * n)
+            low = mid + 1
+    near = [max(before(m), after(m)) for m in (low - 1, low) if m >= 0]
+    return max(min(near), 1 / (2 * n))
+
+
+def _off(x: np.ndarray, feet: np.ndarray, tops: np.ndarray) -> float:
+    """Half the largest gap between the greatest convex minorant of (x, feet) and the tops before the last point."""
+    if len(x) < 2:
+        return 0.0
+    hull: list[int] = []
+    xs, ys = x.tolist(), feet.tolist()
+    for i in range(len(xs)):
+        while len(hull) > 1 and (xs[hull[-1]] - xs[hull[-2]]) * (ys[i] - ys[hull[-2]]) <= (ys[hull[-1]] - ys[hull[-2]]) * (xs[i] - xs[hull[-2]]):
+            hull.pop()
+        hull.append(i)
+    return float((tops - np.interp(x, x[hull], feet[hull]))[:-1].max()) / 2
 
 
-def _hull(x: np.ndarray, y: np.ndarray, upper: bool) -> np.ndarray:
-    keep: list[int] = []
-    sign = -1 if upper else 1
-    for i in range(len(x)):
-        while len(keep) > 1:
-            a, b = keep[-2], keep[-1]
-            if sign * ((x[b] - x[a]) * (y[i] - y[a]) - (y[b] - y[a]) * (x[i] - x[a])) <= 0:
-                keep.pop()
-            else:
-                break
-        keep.append(i)
-    return np.array(keep)
+#: Size of the uniform samples behind the dip's p value.
+DIP_SAMPLE = 2000
 
 
 def dip_test(values: np.ndarray, trials: int = 200, seed: int = 42) -> dict:
-    """The dip and its p value against as many uniform samples of the same size."""
+    """The dip and its p value against seeded uniform samples.
+
+    The dip of n uniform values falls with the square root of n, so samples of at most DIP_SAMPLE
+    values are drawn and their dips scaled to n.
+    """
     found = dip(values)
     rng = np.random.default_rng(seed)
-    n = min(len(values), 2000)
+    n = min(len(values), DIP_SAMPLE)
     scale = math.sqrt(len(values) / n) if n else 1.0
     null = [dip(rng.random(n)) / scale for _ in range(trials)]
     return {"dip": found, "p_value": float(np.mean([d >= found for d in null])), "n_values": len(values)}

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scarp.operators.stats import quantiles
+
 from .metrics import get_metric
 
 #: name -> builder(distance, largest distance): the transformed distance, and whether it is stretched to [0, 1] afterwards.
@@ -41,7 +43,7 @@ def scale_pairs(pairs: DataFrame, metric: str, scaling: str = "linear", percenti
     """pairs with distance_scaled, distance_scaled_structure and similarity.
 
     A metric with a known bound is divided by it. Otherwise distances are clipped at the given
-    percentile of the valid ones and transformed; those above become 1. Without a percentile
+    percentile of the valid ones (which are read for it) and transformed; those above become 1. Without a percentile
     the distance stays as it is. Excluded pairs get a structural distance only, by the same
     cut-off, and only for linear scaling; null where that is undefined.
     """
@@ -56,8 +58,8 @@ def scale_pairs(pairs: DataFrame, metric: str, scaling: str = "linear", percenti
     if scaling not in SCALINGS:
         raise ValueError(f"unknown scaling {scaling!r}; known: {', '.join(sorted(SCALINGS))}")
     builder, stretched = SCALINGS[scaling]
-    cutoff = pairs.agg(F.percentile("distance_raw", F.lit(percentile / 100)).alias("_cutoff"))
-    held = pairs.join(F.broadcast(cutoff))  # one row
+    cutoff = quantiles(pairs, "distance_raw", [percentile / 100]).get(None, [None])[0]
+    held = pairs.withColumn("_cutoff", F.lit(cutoff).cast("double"))
     clipped = F.when(raw.isNotNull(), F.least(raw, F.col("_cutoff")))
     facts = held.agg(F.max(clipped).alias("_largest"), F.max("_cutoff").alias("_cut"))
     if stretched:

@@ -27,7 +27,7 @@ def with_lipschitz(pairs: DataFrame, regularization: float = REGULARIZATION) ->
 
 
 def lipschitz_stats(pairs: DataFrame) -> DataFrame:
-    return valid(with_lipschitz(pairs)).agg(*stats.summary("regularized_lipschitz", (25, 75, 90, 95, 99)))
+    return stats.summary(valid(with_lipschitz(pairs)), "regularized_lipschitz", (25, 75, 90, 95, 99))
 
 
 def lipschitz_histogram(pairs: DataFrame, bins: int = 100) -> DataFrame:
@@ -70,10 +70,10 @@ def conditional_probability(pairs: DataFrame, threshold: float = 1.0, intervals:
     intervals = intervals or [(i * 0.1, (i + 1) * 0.1) for i in range(10)]
     aggregates = [
         F.count("*").alias("n_pairs"), F.count_if(is_cliff(threshold)).alias("n_cliffs"), F.avg("log_ratio").alias("mean_log_ratio"),
-        stats.quantile("log_ratio", 0.5).alias("median_log_ratio"), F.var_pop("log_ratio").alias("variance_log_ratio"), F.stddev_pop("log_ratio").alias("std_log_ratio"),
+        F.var_pop("log_ratio").alias("variance_log_ratio"), F.stddev_pop("log_ratio").alias("std_log_ratio"),
         *[F.avg((F.col("log_ratio") >= t).cast("double")).alias(f"tail_prob_{t:.1f}".replace(".", "_")) for t in tails],
     ]
-    out = stats.binned(pairs, intervals, aggregates).fillna(0, ["n_pairs", "n_cliffs"])
+    out = stats.binned(pairs, intervals, aggregates, median=("log_ratio", "median_log_ratio")).fillna(0, ["n_pairs", "n_cliffs"])
     share = F.when(F.col("n_pairs") > 0, F.col("n_cliffs") / F.col("n_pairs")).otherwise(0.0)
     return out.withColumn("conditional_probability", share).withColumnsRenamed({"bin_lower": "interval_lower", "bin_upper": "interval_upper"}).drop("bin")
 
@@ -100,5 +100,5 @@ def zero_fraction(subset: DataFrame) -> DataFrame:
 def log_lipschitz(pairs: DataFrame, bins: Sequence[tuple[float, float]] = SLOPE_BINS) -> DataFrame:
     """Mean, median and deviation of the log slope of positive slopes in five similarity bins."""
     held = valid(with_lipschitz(pairs)).filter("regularized_lipschitz > 0").withColumn("log_slope", F.ln("regularized_lipschitz"))
-    aggregates = [F.count("*").alias("n_pairs"), F.avg("log_slope").alias("mean_log"), stats.quantile("log_slope", 0.5).alias("median_log"), F.stddev_pop("log_slope").alias("std_log")]
-    return stats.binned(held, bins, aggregates, "similarity IS NOT NULL").fillna(0, ["n_pairs"]).drop("bin")
+    aggregates = [F.count("*").alias("n_pairs"), F.avg("log_slope").alias("mean_log"), F.stddev_pop("log_slope").alias("std_log")]
+    return stats.binned(held, bins, aggregates, "similarity IS NOT NULL", ("log_slope", "median_log")).fillna(0, ["n_pairs"]).drop("bin")

@@ -51,18 +51,40 @@ def _block_pairs(left: pa.StructArray, right: pa.StructArray, kernel) -> pa.Reco
     return pa.RecordBatch.from_arrays([*columns, pa.array(d[i, j])], [*names, "distance_structure"])
 
 
-def block_pairs(compounds: DataFrame, metric: str, block: int = BLOCK) -> DataFrame:
-    """The raw pair table by blocks; pos must be unique."""
-    facts = F.struct("pos", "compound_id", "group_key", "log_activity", "censored", "embedding")
-    blocks = compounds.groupBy(F.floor(F.col("pos") / block).alias("b")).agg(F.array_sort(F.collect_list(facts), lambda x, y: (x["pos"] - y["pos"]).cast("int")).alias("rows"))
+def _blocks(compounds: DataFrame, facts: list[str], block: int) -> DataFrame:
+    """b1 <= b2, left, right: each pair of blocks as one row; facts begin with pos."""
+    rows = F.array_sort(F.collect_list(F.struct(*facts)))
+    blocks = compounds.groupBy(F.floor(F.col("pos") / block).alias("b")).agg(rows.alias("rows"))
     ids = blocks.select("b")
     meet = ids.withColumnRenamed("b", "b1").join(ids.withColumnRenamed("b", "b2"), F.col("b1") <= F.col("b2"))
     left = blocks.select(F.col("b").alias("b1"), F.col("rows").alias("left"))
     right = blocks.select(F.col("b").alias("b2"), F.col("rows").alias("right"))
-    both = meet.join(left, "b1").join(right, "b2").select("left", "right")
     # spread by block pair: AQE would otherwise put few, small rows into one task
-    both = both.repartition(max(8, int(compounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return both.mapInArrow(_kernel(metric), _SCHEMA)
+    both = meet.join(left, "b1").join(right, "b2")
+    return both.repartition(max(8, int(compounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def block_pairs(compounds: DataFrame, metric: str, block: int = BLOCK) -> DataFrame:
+    """The raw pair table by blocks; pos must be unique."""
+    facts = ["pos", "compound_id", "group_key", "log_activity", "censored", "embedding"]
+    return _blocks(compounds, facts, block).select("left", "right").mapInArrow(_kernel(metric), _SCHEMA)
+
+
+def log_ratios(compounds: DataFrame, block: int = 4096) -> DataFrame:
+    """lr: the activity difference of every pair of compounds that have a log_activity, by blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right = (batch.column(c).slice(i, 1).flatten() for c in ("left", "right"))
+                p, q = (x.field("pos").to_numpy() for x in (left, right))
+                a, b = (x.field("log_activity").to_numpy() for x in (left, right))
+                for at in range(0, len(p), 256):
+                    gap = np.abs(a[at : at + 256, None] - b[None])
+                    yield pa.RecordBatch.from_arrays([pa.array(gap[p[at : at + 256, None] < q[None]])], ["lr"])
+
+    held = compounds.filter("log_activity IS NOT NULL")
+    return _blocks(held, ["pos", "log_activity"], block).select("left", "right").mapInArrow(run, "lr double")
 
 
 def expression_pairs(compounds: DataFrame, metric: str) -> DataFrame:
@@ -96,13 +118,9 @@ def with_status(pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_table(compounds: DataFrame, metric: str, few: int = 0) -> DataFrame:
-    """PAIRS for compounds (pos, compound_id, group_key, log_activity, censored, embedding).
-
-    With up to `few` compounds the expression form is taken.
-    """
-    raw = expression_pairs(compounds, metric) if few and compounds.limit(few + 1).count() <= few else block_pairs(compounds, metric)
-    return with_status(raw)
+def pair_table(compounds: DataFrame, metric: str) -> DataFrame:
+    """PAIRS for compounds (pos, compound_id, group_key, log_activity, censored, embedding)."""
+    return with_status(block_pairs(compounds, metric))
 
 
 def valid(pairs: DataFrame) -> DataFrame:
@@ -119,11 +137,28 @@ def at_least(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.filter(F.col("similarity") >= similarity)
 
 
-def missing_pairs(compounds: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pos1, pos2 of expected pairs that the table lacks."""
-    a = compounds.select(F.col("pos").alias("pos1"))
-    expected = a.join(compounds.select(F.col("pos").alias("pos2")), F.col("pos1") < F.col("pos2"))
-    return expected.join(pairs.select("pos1", "pos2"), ["pos1", "pos2"], "left_anti")
+def missing_pairs(compounds: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """pos1 < pos2 of expected pairs that the table lacks.
+
+    Pairs are counted by block pair first; only the block pairs that are not complete are looked at one by one.
+    """
+    of = lambda c: F.floor(F.col(c) / block)
+    pairs = pairs.select(F.least("pos1", "pos2").alias("pos1"), F.greatest("pos1", "pos2").alias("pos2")).distinct()
+    had = pairs.groupBy(of("pos1").alias("b1"), of("pos2").alias("b2")).agg(F.count("*").alias("had"))
+    sides = _blocks(compounds, ["pos"], block).join(had, ["b1", "b2"], "left")
+    m, n = F.size("left").cast("long"), F.size("right").cast("long")
+    wanted = F.when(F.col("b1") == F.col("b2"), F.floor(m * (m - 1) / 2)).otherwise(m * n)
+    short = sides.filter(F.coalesce("had", F.lit(0)) < wanted)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p, q = (batch.column(c).slice(i, 1).flatten().field("pos").to_numpy() for c in ("left", "right"))
+                x, y = np.nonzero(p[:, None] < q[None])
+                yield pa.RecordBatch.from_arrays([pa.array(p[x]), pa.array(q[y])], ["pos1", "pos2"])
+
+    expected = short.select("left", "right").mapInArrow(run, "pos1 long, pos2 long")
+    return expected.join(pairs, ["pos1", "pos2"], "left_anti")
 
 
 def listed_pairs(pairs: DataFrame, listed: DataFrame) -> DataFrame:

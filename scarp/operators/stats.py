@@ -1,28 +1,125 @@
-"""Summary statistics and histograms as single aggregations."""
+"""Summary statistics, exact quantiles and histograms by aggregation."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Hashable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Accuracy of the sketches that bracket a rank, their equal steps, and how many values are brought to the driver.
+_ACCURACY, _STEPS, _FETCH = 10_000, 1000, 200_000
+
 
 def quantile(c: str | Column, q: float) -> Column:
-    """Exact, with linear interpolation."""
+    """Exact, with linear interpolation, as an aggregate: for groups of a size that one task can sort."""
     return F.percentile(c, F.lit(q))
 
 
-def summary(c: str, quantiles: Sequence[int] = (25, 75, 90, 99)) -> list[Column]:
-    """n, min, max, mean, median, std (population) and percentiles of a column; nulls are left out."""
-    named = [F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), quantile(c, 0.5).alias("median"), F.stddev_pop(c).alias("std")]
-    return named + [quantile(c, q / 100).alias(f"q{q}") for q in quantiles]
+def quantiles(df: DataFrame, c: str | Column, points: Sequence[float], by: str | Column | None = None) -> dict[Hashable, list[float | None]]:
+    """Exact quantiles with linear interpolation of each of a few groups (without `by`: of the group None); nulls are left out.
+
+    The table is read two times or more, so it should be written or persisted.
+    """
+    out = {}
+    for g, (n, values) in _select(df, c, by, lambda n: [f(p * (n - 1)) for p in points for f in (math.floor, math.ceil)]).items():
+        parts = [p * (n - 1) - math.floor(p * (n - 1)) for p in points]
+        out[g] = [lo + (hi - lo) * t for lo, hi, t in zip(values[::2], values[1::2], parts, strict=True)]
+    return out
+
+
+def order_statistics(df: DataFrame, c: str | Column, ranks: Sequence[int]) -> list[float]:
+    """The values at the given ranks, from 1 on; nulls are left out, and a rank beyond the values gives the last one."""
+    found = _select(df, c, None, lambda n: [min(max(r, 1), n) - 1 for r in ranks])
+    return found[None][1] if found else []
+
 
+def _select(df: DataFrame, c: str | Column, by: str | Column | None, ranks_of: Callable[[int], list[int]]) -> dict[Hashable, tuple[int, list[float]]]:
+    """For each of a few groups (n, its values at ranks from 0 on).
 
-def describe(df: DataFrame, columns: Sequence[str], quantiles: Sequence[int] = (25, 75, 90, 99)) -> DataFrame:
+    No task sees all values: mergeable sketches bracket each wanted rank, the values below the
+    brackets are counted, and the brackets narrow until the different values inside are few.
+    """
+    group = F.lit(None).cast("string") if by is None else F.col(by) if isinstance(by, str) else by
+    values = df.select(group.alias("g"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("v")).filter("v IS NOT NULL")
+    grid = [i / _STEPS for i in range(_STEPS + 1)]
+    sketch = F.percentile_approx("v", F.array(*[F.lit(x) for x in grid]), F.lit(_ACCURACY)).alias("grid")
+    facts = {r["g"]: r for r in values.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), sketch).collect()}
+    if not facts:
+        return {}
+    ranks = {g: ranks_of(r["n"]) for g, r in facts.items()}
+    brackets = {(g, k): _bracket(k, r["n"], r["grid"], r["lo"], r["hi"]) for g, r in facts.items() for k in ranks[g]}
+    kind = values.schema["g"].dataType.simpleString()
+    while True:
+        listed = [(g, [(k, *brackets[g, k]) for k in dict.fromkeys(ks)]) for g, ks in ranks.items()]
+        table = df.sparkSession.createDataFrame(listed, f"h {kind}, b array<struct<k: long, lo: double, hi: double>>")
+        held = values.join(F.broadcast(table), F.col("g").eqNullSafe(F.col("h")))  # a row per group
+        places = range(max(len(b) for _, b in listed))
+        below = [F.count_if(F.col("v") < F.get("b", F.lit(j))["lo"]) for j in places]
+        inside = [F.count_if((F.col("v") >= F.get("b", F.lit(j))["lo"]) & (F.col("v") <= F.get("b", F.lit(j))["hi"])) for j in places]
+        counts = {r["g"]: r for r in held.groupBy("g").agg(F.array(*below).alias("below"), F.array(*inside).alias("inside")).collect()}
+        within = held.select("g", "v", F.explode(F.filter("b", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"]))).alias("b")).select("g", "b.k", "v")
+        start = {(g, x[0]): counts[g]["below"][j] for g, b in listed for j, x in enumerate(b)}
+        if sum(sum(r["inside"]) for r in counts.values()) <= _FETCH:
+            break
+        again = within.groupBy("g", "k").agg(F.count("*").alias("n"), sketch).collect()
+        new = {(r["g"], r["k"]): _bracket(r["k"] - start[r["g"], r["k"]], r["n"], r["grid"], *brackets[r["g"], r["k"]]) for r in again}
+        if new == brackets:
+            break  # a few values that many rows share
+        brackets = new
+    rows: dict[tuple, list[tuple[float, int]]] = {}
+    for r in within.groupBy("g", "k", "v").agg(F.count("*").alias("n")).collect():
+        rows.setdefault((r["g"], r["k"]), []).append((r["v"], r["n"]))
+    at = {}
+    for (g, k), own in rows.items():
+        reached = start[g, k]
+        for v, n in sorted(own):
+            reached += n
+            if reached > k:
+                at[g, k] = v
+                break
+    return {g: (r["n"], [at[g, k] for k in ranks[g]]) for g, r in facts.items()}
+
+
+def _bracket(rank: int, n: int, grid: list[float], lo: float, hi: float) -> tuple[float, float]:
+    """Values that surround a rank (from 0 on) for sure, given a sketch of n values at equal steps."""
+    i, j = math.floor(_STEPS * rank / n) - 1, math.ceil(_STEPS * (rank + 1) / n) + 1
+    return grid[i] if i > 0 and n > _ACCURACY else lo, grid[j] if j < _STEPS and n > _ACCURACY else hi
+
+
+def quantile_table(df: DataFrame, c: str | Column, points: dict[str, float], by: str) -> DataFrame:
+    """`by` and a column for each named quantile, for a few groups."""
+    found = quantiles(df, c, list(points.values()), by)
+    kind = df.schema[by].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(g, *v) for g, v in found.items()], f"{by} {kind}, " + ", ".join(f"{n} double" for n in points))
+
+
+def _named(points: Sequence[int]) -> dict[str, float]:
+    return {"median": 0.5} | {f"q{q}": q / 100 for q in points}
+
+
+def _moments(c: str) -> list[Column]:
+    return [F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")]
+
+
+def _ordered(points: Sequence[int]) -> list[str]:
+    return ["n", "min", "max", "mean", "median", "std", *[f"q{q}" for q in points]]
+
+
+def summary(df: DataFrame, c: str, points: Sequence[int] = (25, 75, 90, 99)) -> DataFrame:
+    """One row: n, min, max, mean, median, std (population) and percentiles of a column; nulls are left out."""
+    named = _named(points)
+    found = quantiles(df, c, list(named.values())).get(None, [None] * len(named))
+    own = df.agg(*_moments(c)).withColumns({k: F.lit(v).cast("double") for k, v in zip(named, found, strict=True)})
+    return own.select(*_ordered(points))
+
+
+def describe(df: DataFrame, columns: Sequence[str], points: Sequence[int] = (25, 75, 90, 99)) -> DataFrame:
     """One row per column, named in `measure`."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])).alias("m")).select("m.*")
-    return long.groupBy("measure").agg(*summary("v", quantiles))
+    own = long.groupBy("measure").agg(*_moments("v"))
+    return own.join(F.broadcast(quantile_table(long, "v", _named(points), "measure")), "measure", "left").select("measure", *_ordered(points))
 
 
 def histogram(df: DataFrame, c: str, bins: int) -> DataFrame:
@@ -38,10 +135,10 @@ def histogram(df: DataFrame, c: str, bins: int) -> DataFrame:
     return frame.join(counts, "bin", "left").select("bin", edge(F.col("bin")).alias("lower"), edge(F.col("bin") + 1).alias("upper"), F.coalesce("n", F.lit(0)).alias("n")).filter("lower IS NOT NULL")
 
 
-def truncated(df: DataFrame, c: str, percentile: float = 99.0) -> DataFrame:
-    """Rows up to the given percentile of a column."""
-    cut = df.agg(quantile(c, percentile / 100).alias("_cut"))
-    return df.join(F.broadcast(cut)).filter(F.col(c) <= F.col("_cut")).drop("_cut")
+def truncated(df: DataFrame, c: str, q: float = 0.99) -> DataFrame:
+    """Rows up to the q-quantile of a column; without the nulls."""
+    cut = quantiles(df, c, [q]).get(None, [None])[0]
+    return df.filter(F.col(c) <= F.lit(cut).cast("double"))
 
 
 def density(df: DataFrame, c: str, bins: int) -> DataFrame:
@@ -61,13 +158,20 @@ def in_bin(value: Column, lower: Column, upper: Column) -> Column:
     return (value >= lower) & ((value < upper) | ((upper == 1.0) & (value == 1.0)))
 
 
-def binned(pairs: DataFrame, bins: Sequence[tuple[float, float]], aggregates: Sequence[Column], need: str = "similarity IS NOT NULL AND log_ratio IS NOT NULL") -> DataFrame:
+def binned(
+    pairs: DataFrame, bins: Sequence[tuple[float, float]], aggregates: Sequence[Column], need: str = "similarity IS NOT NULL AND log_ratio IS NOT NULL", median: tuple[str, str] | None = None
+) -> DataFrame:
     """bin, bin_lower, bin_upper and aggregates of the valid pairs by similarity; every bin has a row.
 
+    `median` names a column and what its median is called.
+
     The bin is found from the sorted edges by one expression, so pairs are scanned once.
     """
     held = pairs.filter("status <> 'excluded'").filter(need)
     of = F.coalesce(*[F.when(in_bin(F.col("similarity"), F.lit(a), F.lit(b)), F.lit(i)) for i, (a, b) in enumerate(bins)])
-    grouped = held.withColumn("bin", of.cast("long")).filter("bin IS NOT NULL").groupBy("bin").agg(*aggregates)
+    held = held.withColumn("bin", of.cast("long")).filter("bin IS NOT NULL")
+    grouped = held.groupBy("bin").agg(*aggregates)
+    if median:
+        grouped = grouped.join(F.broadcast(quantile_table(held, median[0], {median[1]: 0.5}, "bin")), "bin", "left")  # a row per bin
     frame = pairs.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(bins)], "bin long, bin_lower double, bin_upper double")
     return frame.join(grouped, "bin", "left")

@@ -95,7 +95,7 @@ def analyze(spark: SparkSession, config: dict, table: DataFrame | None = None, l
     summary = {
         "run": run, "name": name, "config": config, "n_compounds": n,
         "status": {x["status"]: x["n"] for x in _rows(p.groupBy("status").agg(F.count("*").alias("n")))},
-        "distance": _rows(p.agg(*stats.summary("distance_raw")))[0], "lipschitz": _rows(correlation.lipschitz_stats(p))[0],
+        "distance": _rows(stats.summary(p, "distance_raw"))[0], "lipschitz": _rows(correlation.lipschitz_stats(p))[0],
         "geometry": _rows(geometry.variation(p))[0] | _rows(geometry.relative_contrast(p))[0] | _rows(geometry.hub_summary(read("hubs")))[0],
         "fit_cliff_fraction": fits.fit_sigmoid([x["similarity_threshold"] for x in fractions], [x["cliff_fraction"] for x in fractions], max_x=1.0),
         "fit_power_law": power | {"gini": fits.gini(power["s"])}, "kww": kww | fits.kww_theory(kww["a"], kww["k"], kww["b"]),
@@ -137,13 +137,13 @@ def embed(spark: SparkSession, config: dict) -> str:
     path = config.get("output_file", f"embeddings/{dataset.name}.parquet")
     rows.write.mode("overwrite").parquet(path)
     held = spark.read.parquet(path).filter("NOT censored")
-    found = {"activity": _rows(held.agg(*stats.summary("log_activity")))[0]}
+    found = {"activity": _rows(stats.summary(held, "log_activity"))[0]}
     values = held.filter("log_activity IS NOT NULL").select("log_activity").toArrow().column(0).to_numpy()
     if len(values) > 1:
         found["mixture"] = fits.mixture_fit(values)
     for m in methods:
         own = held.withColumn("embedding", F.col(m))
-        found[m] = {"length": _rows(geometry.vector_lengths(own).agg(*stats.summary("length")))[0], "center": _rows(geometry.center_stats(own))[0]}
+        found[m] = {"length": _rows(stats.summary(geometry.vector_lengths(own), "length"))[0], "center": _rows(geometry.center_stats(own))[0]}
     sinks.write_json(f"{path}.summary.json", found)
     return path
 

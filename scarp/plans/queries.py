@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +12,13 @@ from scarp.functions import fits
 from scarp.functions.metrics import bits
 from scarp.functions.scaling import scale_pairs
 from scarp.functions.special import t_two_sided
-from scarp.operators import cliffs, compounds, correlation, geometry, graph, pairs, runs, stats
+from scarp.operators import cliffs, compounds, correlation, fitted, geometry, graph, pairs, runs, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-_CACHE: dict[tuple, DataFrame] = {}
+_CACHE: OrderedDict[tuple, DataFrame] = OrderedDict()
+#: Tables that stay persisted at a time.
+KEPT = 8
 CENSOR = 200.0
 
 
@@ -31,13 +33,23 @@ def query(sql: str | None = None):
 
 
 def kept(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """Every analysis reads the compound and pair tables, so a session persists them once (memory, then disk)."""
+    """Analyses read the same compound and pair tables, so the latest few are persisted (memory, then disk)."""
     name = (spark.sparkContext.applicationId, *key)
-    if name not in _CACHE:
-        _CACHE[name] = build().persist()
+    if name in _CACHE:
+        _CACHE.move_to_end(name)
+        return _CACHE[name]
+    _CACHE[name] = build().persist()
+    while len(_CACHE) > KEPT:
+        _CACHE.popitem(last=False)[1].unpersist()
     return _CACHE[name]
 
 
+def release() -> None:
+    """Give back all persisted tables."""
+    while _CACHE:
+        _CACHE.popitem()[1].unpersist()
+
+
 def compound_table(spark: SparkSession, d: str, binary: bool = False) -> DataFrame:
     def build():
         e, v = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("embeddings", "events"))
@@ -53,7 +65,8 @@ def compound_table(spark: SparkSession, d: str, binary: bool = False) -> DataFra
 
 def pair_table(spark: SparkSession, d: str, metric: str = "cosine") -> DataFrame:
     binary = metric in ("tanimoto", "dice", "hamming", "sokal_michener")
-    return kept(spark, (d, "pairs", metric), lambda: scale_pairs(pairs.pair_table(compound_table(spark, d, binary), metric), metric))
+    raw = kept(spark, (d, "pairs", metric), lambda: pairs.pair_table(compound_table(spark, d, binary), metric))
+    return scale_pairs(raw, metric)
 
 
 def mmp_list(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +167,8 @@ def pair_status_counts(spark, d):
 
 def _distance_query(metric: str, name: str):
     def run(spark, d):
-        return pair_table(spark, d, metric).select("pos1", "pos2", "status", r("distance_structure", 9).alias("distance"))
+        binary = metric in ("tanimoto", "dice", "hamming", "sokal_michener")
+        return pairs.pair_table(compound_table(spark, d, binary), metric).select("pos1", "pos2", "status", r("distance_structure", 9).alias("distance"))
 
     run.__name__ = name
     query(f"{_pairs_sql(metric)} SELECT pos1, pos2, status, round(ds, 9) AS distance FROM p")(run)
@@ -182,9 +196,12 @@ def dist_tensor_energy(spark, d):
     return found.select(F.col("id1").alias("g1"), F.col("id2").alias("g2"), r("distance_structure").alias("distance"))
 
 
-@query(f"{_pairs_sql('hamming')} SELECT pos1, pos2, round(lr, 6) AS log_ratio FROM s WHERE ds = 0")
+@query(f"WITH {_C}, f AS (SELECT pos, cens, la, e[1:6] AS e FROM cb) SELECT a.pos AS pos1, b.pos AS pos2, round(abs(a.la - b.la), 6) AS log_ratio FROM f a JOIN f b ON a.pos < b.pos AND a.e = b.e WHERE NOT (a.cens AND b.cens)")
 def zero_distance_pairs(spark, d):
-    return rounded(pairs.valid(pair_table(spark, d, "hamming")).filter("distance_raw = 0").select("pos1", "pos2", "log_ratio"))
+    """By the first six bits, which many compounds share."""
+    short = compound_table(spark, d, True).withColumn("embedding", F.slice("embedding", 1, 6))
+    found = scale_pairs(pairs.pair_table(short, "hamming"), "hamming", percentile=None)
+    return rounded(pairs.valid(found).filter("distance_raw = 0").select("pos1", "pos2", "log_ratio"))
 
 
 @query(f"{_S} SELECT pos1, pos2, round(ds, 6) AS distance_raw FROM s WHERE lr = 0")
@@ -201,7 +218,7 @@ def missing_pairs_antijoin(spark, d):
 
 @query(f"{_S} {_summary_sql('ds', 's')}")
 def distance_stats(spark, d):
-    return rounded(pair_table(spark, d).agg(*stats.summary("distance_raw")))
+    return rounded(stats.summary(pair_table(spark, d), "distance_raw"))
 
 
 def _scaled(df: DataFrame) -> DataFrame:
@@ -229,12 +246,12 @@ ends AS (SELECT min(t) AS lo, max(t) AS hi FROM t) {_SCALED}
 
 @query(_stretched_sql("1 / (1 + exp(-10.0 * (least(ds, q) / q - 0.5)))"))
 def scale_sigmoid(spark, d):
-    return _scaled(scale_pairs(pairs.with_status(pair_table(spark, d, "euclidean").drop("distance_scaled", "distance_scaled_structure", "similarity")), "euclidean", "sigmoid"))
+    return _scaled(scale_pairs(pair_table(spark, d, "euclidean").drop("distance_scaled", "distance_scaled_structure", "similarity"), "euclidean", "sigmoid"))
 
 
 @query(_stretched_sql("exp(-1.0 * least(ds, q) / q)"))
 def scale_exponential(spark, d):
-    return _scaled(scale_pairs(pairs.with_status(pair_table(spark, d, "euclidean").drop("distance_scaled", "distance_scaled_structure", "similarity")), "euclidean", "exponential"))
+    return _scaled(scale_pairs(pair_table(spark, d, "euclidean").drop("distance_scaled", "distance_scaled_structure", "similarity"), "euclidean", "exponential"))
 
 
 @query(f"{_E} SELECT status, count(*) AS n, round(avg(CASE WHEN ds > q THEN 1.0 ELSE ds / nullif(q, 0) END), 6) AS mean_structure FROM p, cut GROUP BY 1")
@@ -413,10 +430,11 @@ def subset_zero_fraction(spark, d):
 @query(f"WITH {_C}, u AS (SELECT * FROM c WHERE NOT cens), x AS (SELECT abs(a.la - b.la) AS lr FROM u a JOIN u b ON a.pos < b.pos) {_summary_sql('lr', 'x', (25, 75, 90, 95, 99))}")
 def log_ratio_stats(spark, d):
     """Activity differences of uncensored compounds."""
-    u = compound_table(spark, d).filter("NOT censored").select("pos", "log_activity").repartition(8)
-    joined = u.alias("a").join(u.alias("b"), F.col("a.pos") < F.col("b.pos"))
-    lr = joined.select(F.abs(F.col("a.log_activity") - F.col("b.log_activity")).alias("lr"))
-    return rounded(lr.agg(*stats.summary("lr", (25, 75, 90, 95, 99))))
+    return rounded(stats.summary(_ratios(spark, d), "lr", (25, 75, 90, 95, 99)))
+
+
+def _ratios(spark, d) -> DataFrame:
+    return kept(spark, (d, "ratios"), lambda: pairs.log_ratios(compound_table(spark, d).filter("NOT censored")))
 
 
 @query(f"WITH {_C} SELECT pos, id AS compound_id, round(sqrt(list_dot_product(e, e)), 6) AS length FROM c WHERE NOT cens")
@@ -518,18 +536,16 @@ def h0_statistics(spark, d):
     return rounded(graph.persistence_stats(graph.persistence(_forest(spark, d), _nodes(spark, d))))
 
 
-@query(f"""WITH RECURSIVE {_SCALES[5:]}, low AS (SELECT scale FROM sc ORDER BY scale LIMIT 6), h AS (SELECT scale, a, b FROM ed, low WHERE dist <= scale UNION ALL SELECT scale, b, a FROM ed, low WHERE dist <= scale),
-r(scale, n, m) AS (SELECT scale, n, n FROM o, low UNION SELECT r.scale, r.n, h.b FROM r JOIN h ON h.a = r.m AND h.scale = r.scale)
-SELECT round(scale::DOUBLE, 6) AS scale, count(*) AS n_components FROM (SELECT scale, n, min(m) AS m FROM r GROUP BY 1, 2) WHERE n = m GROUP BY 1""")
+# labels shrink to the smallest node they can reach, for all scales at once
+@query(f"""WITH RECURSIVE {_SCALES[5:]}, low AS (SELECT * FROM ed WHERE dist <= (SELECT max(scale) FROM sc)),
+h AS MATERIALIZED (SELECT a, b, dist FROM low UNION ALL SELECT b, a, dist FROM low),
+lab(s, n, c) USING KEY (s, n) AS (
+  SELECT scale, n, n FROM o, sc
+  UNION
+  SELECT t.s, h.b, min(t.c) FROM lab t JOIN h ON h.a = t.n AND h.dist <= t.s JOIN recurring.lab x ON x.s = t.s AND x.n = h.b WHERE t.c < x.c GROUP BY t.s, h.b)
+SELECT round(s::DOUBLE, 6) AS scale, count(DISTINCT c) AS n_components FROM lab GROUP BY s""")
 def h0_betti_curve(spark, d):
-    """Components at the six smallest sampled scales."""
-    scales = graph.degree_scales(_edges(spark, d), _nodes(spark, d)).select("scale").orderBy("scale").limit(6)
-    return rounded(graph.betti_curve(_forest(spark, d), _nodes(spark, d), scales).withColumn("scale", F.col("scale").cast("double")))
-
-
-@query()
-def h0_betti_curve_all(spark, d):
-    """Components at all sampled scales; h0_betti_curve has the six smallest, as its SQL does."""
+    """Components at all sampled scales."""
     scales = graph.degree_scales(_edges(spark, d), _nodes(spark, d)).select("scale")
     return rounded(graph.betti_curve(_forest(spark, d), _nodes(spark, d), scales).withColumn("scale", F.col("scale").cast("double")))
 
@@ -544,60 +560,43 @@ def _frame(spark, rows: list[dict]) -> DataFrame:
 @query(f"""{_S} SELECT count(d) AS n_values, round(avg(d), 6) AS mu, round(stddev_pop(d), 6) AS sigma, round(-0.5 * count(d) * (ln(2 * pi() * var_pop(d)) + 1), 3) AS log_likelihood,
   round(2 * ln(count(d)) + count(d) * (ln(2 * pi() * var_pop(d)) + 1), 3) AS bic FROM s""")
 def fit_normal(spark, d):
-    n = F.count("distance_scaled")
-    ll = -0.5 * n * (F.log(2 * F.pi() * F.var_pop("distance_scaled")) + 1)
-    return pair_table(spark, d).agg(n.alias("n_values"), r(F.avg("distance_scaled")).alias("mu"), r(F.stddev_pop("distance_scaled")).alias("sigma"), r(ll, 3).alias("log_likelihood"), r(2 * F.log(n) - 2 * ll, 3).alias("bic"))
+    n, mean, variance = pair_table(spark, d).agg(F.count("distance_scaled"), F.avg("distance_scaled"), F.var_pop("distance_scaled")).first()
+    f = fits.normal_fit(n, mean, variance)
+    row = (f["n_values"], round(f["mu"], 6), round(f["sigma"], 6), round(f["log_likelihood"], 3), round(f["bic"], 3))
+    return spark.createDataFrame([row], "n_values long, mu double, sigma double, log_likelihood double, bic double")
 
 
 @query(f"""{_S}, x AS (SELECT greatest(d, 1e-12) AS x, d FROM s)
-SELECT round(2 * ln(count(*)) + 2 * count(*) * ln(max(d) - min(d)), 3) AS uniform_bic,
+SELECT round(2 * ln(count(*)) + count(*) * (ln(2 * pi() * var_pop(d)) + 1), 3) AS gaussian_bic, round(2 * ln(count(*)) + 2 * count(*) * ln(max(d) - min(d)), 3) AS uniform_bic,
   round(2 * ln(count(*)) + 2 * sum(ln(x)) + count(*) * (ln(2 * pi() * var_pop(ln(x))) + 1), 3) AS lognormal_bic FROM x""")
-def fit_uniform_lognormal_bic(spark, d):
-    x = pair_table(spark, d).filter("distance_scaled IS NOT NULL").select(F.greatest("distance_scaled", F.lit(1e-12)).alias("x"), F.col("distance_scaled").alias("d"))
-    n, lx = F.count("*"), F.log("x")
-    return x.agg(r(2 * F.log(n) + 2 * n * F.log(F.max("d") - F.min("d")), 3).alias("uniform_bic"), r(2 * F.log(n) + 2 * F.sum(lx) + n * (F.log(2 * F.pi() * F.var_pop(lx)) + 1), 3).alias("lognormal_bic"))
-
-
-def race_statistics(df: DataFrame, c: str) -> dict:
-    """The sufficient statistics of all five models in one aggregation."""
-    x, u = F.col(c), F.least(F.greatest(F.col(c), F.lit(1e-8)), F.lit(1 - 1e-8))
-    p = F.greatest(F.col(c), F.lit(1e-12))
-    return df.filter(x.isNotNull()).agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(u).alias("beta_mean"), F.var_pop(u).alias("beta_var"),
-        F.avg(F.log(u)).alias("beta_log"), F.avg(F.log(1 - u)).alias("beta_log1m"), F.avg(p).alias("pos_mean"), F.avg(F.log(p)).alias("pos_log"), F.var_pop(F.log(p)).alias("pos_log_var"),
-    ).first().asDict()
+def fit_closed_form_bic(spark, d):
+    """The three models of the race whose likelihood has a closed form."""
+    bic = {x["distribution"]: x["bic"] for x in fitted.race(pair_table(spark, d), "distance_scaled")}
+    return spark.createDataFrame([tuple(round(bic[k], 3) for k in ("gaussian", "uniform", "lognormal"))], "gaussian_bic double, uniform_bic double, lognormal_bic double")
 
 
 @query()
 def fit_bic_race(spark, d):
-    return _frame(spark, fits.bic_race(race_statistics(pair_table(spark, d), "distance_scaled")))
+    return _frame(spark, fitted.race(pair_table(spark, d), "distance_scaled"))
 
 
 @query()
 def fit_beta_distance(spark, d):
-    held = stats.truncated(pairs.valid(pair_table(spark, d)), "distance_raw").select("distance_raw")
-    lo, hi, n = held.agg(F.min("distance_raw"), F.max("distance_raw"), F.count("*")).first()
-    u = F.least(F.greatest((F.col("distance_raw") - lo) / (hi - lo), F.lit(1e-9)), F.lit(1 - 1e-9))
-    m = held.agg(F.avg(u), F.var_pop(u), F.avg(F.log(u)), F.avg(F.log(1 - u))).first()
-    h = stats.histogram(held, "distance_raw", 100).orderBy("bin").collect()
-    edges = np.array([h[0]["lower"], *[x["upper"] for x in h]])
-    return _frame(spark, [fits.beta_distance(*fits.beta_fit(*m), lo, hi, n, np.array([x["n"] for x in h]), edges)])
+    return _frame(spark, [fitted.beta_distance(pairs.valid(pair_table(spark, d)), "distance_raw", cut=0.99)])
 
 
-def _kww(df: DataFrame, c: str, bins: int = 50) -> dict:
-    held = stats.truncated(df.filter(F.col(c).isNotNull()), c).select(c)
-    points = stats.density(held, c, bins).orderBy("bin").collect()
-    return fits.fit_kww([x["center"] for x in points], [x["density"] for x in points], held.count())
+def _slope_fit(spark, d) -> dict:
+    return fitted.kww(pairs.valid(correlation.with_lipschitz(pair_table(spark, d))), "regularized_lipschitz")
 
 
 @query()
 def fit_kww(spark, d):
-    return _frame(spark, [_kww(pairs.valid(correlation.with_lipschitz(pair_table(spark, d))), "regularized_lipschitz", 100)])
+    return _frame(spark, [_slope_fit(spark, d)])
 
 
 @query()
 def kww_theoretical(spark, d):
-    found = _kww(pairs.valid(correlation.with_lipschitz(pair_table(spark, d))), "regularized_lipschitz", 100)
+    found = _slope_fit(spark, d)
     return _frame(spark, [fits.kww_theory(found["a"], found["k"], found["b"])])
 
 
@@ -616,35 +615,47 @@ def fit_power_law(spark, d):
     return _frame(spark, [found | {"gini": fits.gini(found["s"])}])
 
 
-@query()
+# expectation-maximization as a recursion: each step sums up all values
+@query(f"""WITH RECURSIVE {_C}, v AS (SELECT la AS x FROM c WHERE NOT cens), f AS (SELECT min(x) AS lo, max(x) AS hi, 1 / (max(x) - min(x)) AS flat FROM v),
+em(i, p, mu, sigma) AS (SELECT 0, 0.7::DOUBLE, avg(x), stddev_pop(x) FROM v UNION ALL
+  SELECT i + 1, avg(w), sum(w * x) / sum(w), sqrt(greatest(sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2, 1e-18)) FROM (
+    SELECT i, x, p * exp(-((x - mu) ** 2) / (2 * sigma * sigma)) / (sigma * sqrt(2 * pi())) / (p * exp(-((x - mu) ** 2) / (2 * sigma * sigma)) / (sigma * sqrt(2 * pi())) + (1 - p) * flat) AS w
+    FROM em, v, f WHERE i < 500) GROUP BY i)
+SELECT (SELECT count(*) FROM v) AS n_values, round(p, 3) AS p, round(mu, 3) AS mu, round(sigma, 3) AS sigma, round(lo, 6) AS a, round(hi, 6) AS b FROM em, f WHERE i = 500""")
 def fit_mixture(spark, d):
-    """Of the uncensored compounds' log activities: one number a compound."""
-    values = [x[0] for x in compound_table(spark, d).filter("NOT censored AND log_activity IS NOT NULL").select("log_activity").collect()]
-    return _frame(spark, [fits.mixture_fit(np.array(values))])
+    """Of the uncensored compounds' log activities, in fine bins."""
+    m = fitted.mixture(compound_table(spark, d).filter("NOT censored"), "log_activity")
+    row = (m["n_values"], round(m["p"], 3), round(m["mu"], 3), round(m["sigma"], 3), round(m["a"], 6), round(m["b"], 6))
+    return spark.createDataFrame([row], "n_values long, p double, mu double, sigma double, a double, b double")
 
 
 @query()
 def fit_generalized_gaussian(spark, d):
-    held = pairs.valid(pair_table(spark, d)).select("log_ratio").filter("log_ratio IS NOT NULL")
-    m = held.agg(F.avg("log_ratio"), F.stddev_pop("log_ratio")).first()
-    points = stats.density(stats.truncated(held, "log_ratio"), "log_ratio", 50).orderBy("bin").collect()
-    return _frame(spark, [fits.fit_generalized_gaussian([x["center"] for x in points], [x["density"] for x in points], *m)])
-
-
-@query()
+    return _frame(spark, [fitted.generalized_gaussian(pairs.valid(pair_table(spark, d)), "log_ratio")])
+
+
+# Newton's method on the shape as a recursion, with the values scaled to a geometric mean of 1
+@query(f"""WITH RECURSIVE {_C}, v AS (SELECT ln(activity) AS l, activity AS x FROM c WHERE NOT cens), m AS (SELECT count(*) AS n, avg(l) AS ml, avg(x) AS mx FROM v),
+nw(i, k) AS (SELECT 0, 1.0::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN k - step > 0 THEN k - step ELSE k / 2 END FROM (
+    SELECT i, k, (s1 / s0 - 1 / k) / ((s2 * s0 - s1 * s1) / (s0 * s0) + 1 / (k * k)) AS step FROM (
+      SELECT i, k, sum(exp(k * (l - ml))) AS s0, sum(exp(k * (l - ml)) * (l - ml)) AS s1, sum(exp(k * (l - ml)) * (l - ml) ** 2) AS s2 FROM nw, v, m WHERE i < 60 GROUP BY i, k))),
+z AS (SELECT k, (SELECT sum(exp(k * (l - ml))) FROM v, m) AS power FROM nw WHERE i = 60)
+SELECT n AS n_values, round(mx, 5) AS exponential_scale, round(-n * (ln(mx) + 1), 3) AS exponential_log_likelihood, round(k, 5) AS weibull_shape, round(exp(ml + ln(power / n) / k), 4) AS weibull_scale,
+  round(n * (ln(k) - k * (ml + ln(power / n) / k)) + (k - 1) * n * ml - n, 2) AS weibull_log_likelihood FROM z, m""")
 def fit_exponential_weibull(spark, d):
-    held = compound_table(spark, d).filter("NOT censored AND activity > 0").select("activity")
-    n, mean = held.agg(F.count("*"), F.avg("activity")).first()
-    w = fits.weibull_fit(np.array([x[0] for x in held.collect()]))
-    e = fits.exponential_fit(n, mean)
-    return _frame(spark, [{"exponential_" + k: v for k, v in e.items()} | {"weibull_" + k: v for k, v in w.items()}])
+    """Of the uncensored activities."""
+    held = compound_table(spark, d).filter("NOT censored")
+    e, w = fitted.exponential(held, "activity"), fitted.weibull(held, "activity")
+    row = (held.filter("activity > 0").count(), round(e["scale"], 5), round(e["log_likelihood"], 3), round(w["shape"], 5), round(w["scale"], 4), round(float(w["log_likelihood"]), 2))
+    return spark.createDataFrame([row], "n_values long, exponential_scale double, exponential_log_likelihood double, weibull_shape double, weibull_scale double, weibull_log_likelihood double")
 
 
 @query()
 def dip_test(spark, d):
     """On at most 100,000 distances, those with the smallest hash of the pair."""
-    held = pairs.valid(pair_table(spark, d)).select("distance_scaled", F.xxhash64("pos1", "pos2").alias("h")).orderBy("h").limit(100_000)
-    return _frame(spark, [fits.dip_test(np.array([x[0] for x in held.select("distance_scaled").collect()]), trials=50)])
+    found = fitted.dip(pairs.valid(pair_table(spark, d)), trials=50)
+    return _frame(spark, [found]).withColumn("label", runs.unimodality(F.col("p_value")))
 
 
 _TOP = """, {0} AS (SELECT id1, id2 FROM (SELECT *, row_number() OVER (ORDER BY ds, pos1, pos2) AS rk, count(*) OVER () AS total FROM {1}) WHERE rk <= ceil(total * 5 / 100.0) AND lr >= 1)"""

@@ -66,11 +66,61 @@ def test_mixture_weibull_exponential():
     got = fits.mixture_fit(x)
     assert got["p"] == pytest.approx(0.75, abs=0.04) and got["mu"] == pytest.approx(5, abs=0.05)
     assert fits.mixture_quantile(0.5, got) == pytest.approx(np.median(x), abs=0.05)
-    w = fits.weibull_fit(2.0 * RNG.weibull(1.5, 20000))
+    values = 2.0 * RNG.weibull(1.5, 20000)
+    w = fits.weibull_fit(np.log(values))
     assert (w["shape"], w["scale"]) == pytest.approx((1.5, 2.0), rel=0.03)
+    direct = np.log(w["shape"] / w["scale"] * (values / w["scale"]) ** (w["shape"] - 1)) - (values / w["scale"]) ** w["shape"]
+    assert w["log_likelihood"] == pytest.approx(direct.sum())
+    twice = fits.weibull_fit(np.log(values[:50]), np.full(50, 2.0))
+    assert twice["shape"] == pytest.approx(fits.weibull_fit(np.log(np.repeat(values[:50], 2)))["shape"])
 
 
 def test_dip_tells_one_mode_from_two():
     one, two = RNG.normal(0, 1, 400), np.concatenate([RNG.normal(-4, 0.5, 200), RNG.normal(4, 0.5, 200)])
     assert fits.dip(two) > 3 * fits.dip(one)
     assert fits.dip_test(one, 40)["p_value"] > 0.05 > fits.dip_test(two, 40)["p_value"]
+
+
+def brute_dip(values):
+    """The least d, by trying every mode at a sample point: hulls by definition, over all pairs of points."""
+    x = sorted(set(values))
+    n = len(values)
+    tops = [sum(v <= c for v in values) / n for c in x]
+    feet = [sum(v < c for v in values) / n for c in x]
+
+    def below(m):  # at each point before the mode, the lowest chord of feet over it
+        worst = 0.0
+        for i in range(m):
+            chord = feet[i]
+            for a in range(i + 1):
+                for b in range(i, m + 1):
+                    if x[b] > x[a]:
+                        chord = min(chord, feet[a] + (feet[b] - feet[a]) * (x[i] - x[a]) / (x[b] - x[a]))
+            worst = max(worst, tops[i] - chord)
+        return worst / 2
+
+    def above(m):
+        worst = 0.0
+        for i in range(m + 1, len(x)):
+            chord = tops[i]
+            for a in range(m, i + 1):
+                for b in range(i, len(x)):
+                    if x[b] > x[a]:
+                        chord = max(chord, tops[a] + (tops[b] - tops[a]) * (x[i] - x[a]) / (x[b] - x[a]))
+            worst = max(worst, chord - feet[i])
+        return worst / 2
+
+    return max(1 / (2 * n), min(max(below(m), above(m)) for m in range(len(x))))
+
+
+def test_dip_equals_values_derived_by_hand():
+    assert fits.dip(np.linspace(0, 1, 101)) == pytest.approx(1 / 202)
+    assert fits.dip(np.concatenate((np.linspace(0, 0.01, 50), np.linspace(0.99, 1, 50)))) == pytest.approx(49 / 198)
+    assert fits.dip([0, 0, 0, 1, 1, 1]) == 0.25 and fits.dip([2, 2, 2, 2]) == 1 / 8 and fits.dip([]) == 0
+
+
+def test_dip_equals_brute_force():
+    rng = np.random.default_rng(8)
+    for n in range(2, 22):
+        values = rng.integers(0, 12, n).tolist() if n % 2 else rng.random(n).tolist()
+        assert fits.dip(values) == pytest.approx(brute_dip(values), abs=1e-12)
