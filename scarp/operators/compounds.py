@@ -40,7 +40,7 @@ def group_key(compound_id: Column) -> Column:
     return F.substring_index(compound_id, "-", 1)
 
 
-def stackable(compounds: DataFrame) -> Column:
+def stackable() -> Column:
     """Aggregate: whether all embeddings have one length."""
     return F.min(F.size("embedding")) == F.max(F.size("embedding"))
 
@@ -63,3 +63,12 @@ def center(compounds: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("i", "mean")))
     means = coordinate_means(compounds).agg(F.transform(ordered, lambda s: s["mean"]).alias("_means"))
     return compounds.join(F.broadcast(means)).withColumn("embedding", F.zip_with("embedding", "_means", lambda x, m: x - m)).drop("_means")
+
+
+def projection(compounds: DataFrame, dims: int = 2) -> DataFrame:
+    """compound_id, pc: the vectors on their first principal components. The driver holds a matrix of the coordinates only."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = center(compounds).select("compound_id", array_to_vector("embedding").alias("v"))
+    return PCA(k=dims, inputCol="v", outputCol="p").fit(v).transform(v).select("compound_id", vector_to_array("p").alias("pc"))

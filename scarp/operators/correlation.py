@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scarp.functions.special import t_two_sided
+
 from . import stats
 from .pairs import is_cliff, valid
 
@@ -61,6 +63,19 @@ def binned_pearson(pairs: DataFrame, width: float = 0.05) -> DataFrame:
     )
 
 
+def with_p_values(binned: DataFrame) -> DataFrame:
+    """The binned correlations (a row per bin) with two-sided p values."""
+    rows = binned.collect()
+    p = [(x["bin_lower"], None if x["pearson_r"] is None else float(t_two_sided(x["pearson_r"], x["n_pairs"]))) for x in rows]
+    return binned.join(F.broadcast(binned.sparkSession.createDataFrame(p, "bin_lower double, p_value double")), "bin_lower")
+
+
+def zero_percent(pairs: DataFrame) -> DataFrame:
+    """n_zero, n_valid, p0_percent: the share of valid pairs at structural distance 0."""
+    zero = F.count_if(F.col("distance_raw") == 0)
+    return valid(pairs).agg(zero.alias("n_zero"), F.count("*").alias("n_valid"), (100.0 * zero / F.nullif(F.count("*"), F.lit(0))).alias("p0_percent"))
+
+
 def pearson_summary(binned: DataFrame) -> DataFrame:
     return binned.agg(F.avg("pearson_r").alias("mean_r"), F.stddev_samp("pearson_r").alias("std_r"), F.min("pearson_r").alias("min_r"), F.max("pearson_r").alias("max_r"), F.count("pearson_r").alias("n_bins"))
 

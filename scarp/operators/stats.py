@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Accuracy of the sketches that bracket a rank, their equal steps, and how many values are brought to the driver.
 _ACCURACY, _STEPS, _FETCH = 10_000, 1000, 200_000
+#: Ranks that are looked for in one pass.
+_RANKS = 24
 
 
 def quantile(c: str | Column, q: float) -> Column:
@@ -43,24 +45,42 @@ def _select(df: DataFrame, c: str | Column, by: str | Column | None, ranks_of: C
     """
     group = F.lit(None).cast("string") if by is None else F.col(by) if isinstance(by, str) else by
     values = df.select(group.alias("g"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("v")).filter("v IS NOT NULL")
+    if values.limit(_FETCH + 1).count() <= _FETCH:
+        rows: dict[Hashable, list[tuple[float, int]]] = {}
+        for r in values.groupBy("g", "v").agg(F.count("*").alias("n")).collect():
+            rows.setdefault(r["g"], []).append((r["v"], r["n"]))
+        sizes = {g: sum(n for _, n in own) for g, own in rows.items()}
+        return {g: (n, list(map(_expanded(rows[g]).__getitem__, ranks_of(n)))) for g, n in sizes.items()}
     grid = [i / _STEPS for i in range(_STEPS + 1)]
     sketch = F.percentile_approx("v", F.array(*[F.lit(x) for x in grid]), F.lit(_ACCURACY)).alias("grid")
     facts = {r["g"]: r for r in values.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), sketch).collect()}
-    if not facts:
-        return {}
     ranks = {g: ranks_of(r["n"]) for g, r in facts.items()}
-    brackets = {(g, k): _bracket(k, r["n"], r["grid"], r["lo"], r["hi"]) for g, r in facts.items() for k in ranks[g]}
+    at: dict[tuple, float] = {}
+    for i in range(0, max(map(len, ranks.values())), _RANKS):
+        brackets = {(g, k): _bracket(k, r["n"], r["grid"], r["lo"], r["hi"]) for g, r in facts.items() for k in ranks[g][i : i + _RANKS]}
+        at |= _narrow(values, brackets, sketch)
+    return {g: (r["n"], [at[g, k] for k in ranks[g]]) for g, r in facts.items()}
+
+
+def _expanded(rows: list[tuple[float, int]]) -> list[float]:
+    return [v for v, n in sorted(rows) for _ in range(n)]
+
+
+def _narrow(values: DataFrame, brackets: dict[tuple, tuple[float, float]], sketch: Column) -> dict[tuple, float]:
+    """The value at each (group, rank), given brackets around it."""
     kind = values.schema["g"].dataType.simpleString()
     while True:
-        listed = [(g, [(k, *brackets[g, k]) for k in dict.fromkeys(ks)]) for g, ks in ranks.items()]
-        table = df.sparkSession.createDataFrame(listed, f"h {kind}, b array<struct<k: long, lo: double, hi: double>>")
+        listed: dict[Hashable, list] = {}
+        for (g, k), ends in brackets.items():
+            listed.setdefault(g, []).append((k, *ends))
+        table = values.sparkSession.createDataFrame(list(listed.items()), f"h {kind}, b array<struct<k: long, lo: double, hi: double>>")
         held = values.join(F.broadcast(table), F.col("g").eqNullSafe(F.col("h")))  # a row per group
-        places = range(max(len(b) for _, b in listed))
+        places = range(max(map(len, listed.values())))
         below = [F.count_if(F.col("v") < F.get("b", F.lit(j))["lo"]) for j in places]
         inside = [F.count_if((F.col("v") >= F.get("b", F.lit(j))["lo"]) & (F.col("v") <= F.get("b", F.lit(j))["hi"])) for j in places]
         counts = {r["g"]: r for r in held.groupBy("g").agg(F.array(*below).alias("below"), F.array(*inside).alias("inside")).collect()}
         within = held.select("g", "v", F.explode(F.filter("b", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"]))).alias("b")).select("g", "b.k", "v")
-        start = {(g, x[0]): counts[g]["below"][j] for g, b in listed for j, x in enumerate(b)}
+        start = {(g, x[0]): counts[g]["below"][j] for g, b in listed.items() for j, x in enumerate(b)}
         if sum(sum(r["inside"]) for r in counts.values()) <= _FETCH:
             break
         again = within.groupBy("g", "k").agg(F.count("*").alias("n"), sketch).collect()
@@ -79,7 +99,7 @@ def _select(df: DataFrame, c: str | Column, by: str | Column | None, ranks_of: C
             if reached > k:
                 at[g, k] = v
                 break
-    return {g: (r["n"], [at[g, k] for k in ranks[g]]) for g, r in facts.items()}
+    return at
 
 
 def _bracket(rank: int, n: int, grid: list[float], lo: float, hi: float) -> tuple[float, float]:

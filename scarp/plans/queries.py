@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from scarp.functions import fits
 from scarp.functions.metrics import bits
 from scarp.functions.scaling import scale_pairs
 from scarp.functions.special import t_two_sided
-from scarp.operators import cliffs, compounds, correlation, fitted, geometry, graph, pairs, runs, stats
+from scarp.operators import cliffs, compounds, correlation, fitted, geometry, graph, pairs, plotdata, probe, runs, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -196,12 +197,21 @@ def dist_tensor_energy(spark, d):
     return found.select(F.col("id1").alias("g1"), F.col("id2").alias("g2"), r("distance_structure").alias("distance"))
 
 
+def _short_pairs(spark, d) -> DataFrame:
+    short = compound_table(spark, d, True).withColumn("embedding", F.slice("embedding", 1, 6))
+    return scale_pairs(pairs.pair_table(short, "hamming"), "hamming", percentile=None)
+
+
+@query(f"""WITH {_C}, f AS (SELECT pos, cens, e[1:6] AS e FROM cb), z AS (SELECT a.e = b.e AS same FROM f a JOIN f b ON a.pos < b.pos WHERE NOT (a.cens AND b.cens))
+SELECT count(*) FILTER (WHERE same) AS n_zero, count(*) AS n_valid, round(100.0 * count(*) FILTER (WHERE same) / count(*), 6) AS p0_percent FROM z""")
+def zero_percent(spark, d):
+    return rounded(correlation.zero_percent(_short_pairs(spark, d)))
+
+
 @query(f"WITH {_C}, f AS (SELECT pos, cens, la, e[1:6] AS e FROM cb) SELECT a.pos AS pos1, b.pos AS pos2, round(abs(a.la - b.la), 6) AS log_ratio FROM f a JOIN f b ON a.pos < b.pos AND a.e = b.e WHERE NOT (a.cens AND b.cens)")
 def zero_distance_pairs(spark, d):
     """By the first six bits, which many compounds share."""
-    short = compound_table(spark, d, True).withColumn("embedding", F.slice("embedding", 1, 6))
-    found = scale_pairs(pairs.pair_table(short, "hamming"), "hamming", percentile=None)
-    return rounded(pairs.valid(found).filter("distance_raw = 0").select("pos1", "pos2", "log_ratio"))
+    return rounded(pairs.valid(_short_pairs(spark, d)).filter("distance_raw = 0").select("pos1", "pos2", "log_ratio"))
 
 
 @query(f"{_S} SELECT pos1, pos2, round(ds, 6) AS distance_raw FROM s WHERE lr = 0")
@@ -714,3 +724,143 @@ def run_best_worst(spark, d):
 @query(f"{_two_runs_sql()}{_measures_sql()}, {_BEST} SELECT run, sum(b)::BIGINT AS n_best, sum(w)::BIGINT AS n_worst FROM (SELECT best AS run, 1 AS b, 0 AS w FROM bw UNION ALL SELECT worst, 0, 1 FROM bw) GROUP BY run")
 def run_win_counts(spark, d):
     return runs.win_counts(runs.best_and_worst(_measures(spark, d)))
+
+
+@query(f"""{_S} SELECT (SELECT count(*) FROM c) AS n_compounds, (SELECT count(DISTINCT i) FROM (SELECT id1 AS i FROM s WHERE lr >= 1 UNION ALL SELECT id2 FROM s WHERE lr >= 1)) AS n_compounds_in_any_cliff,
+  (SELECT count(*) FROM s WHERE lr IS NOT NULL) AS n_pairs_usable, (SELECT count(*) FROM s WHERE lr >= 1) AS n_cliff_pairs""")
+def pair_universe(spark, d):
+    return graph.universe(pair_table(spark, d))
+
+
+@query(f"""{_S}, t AS (SELECT round(i * 0.05::DOUBLE, 2) AS t FROM range(21) r(i))
+SELECT (SELECT max(t) FROM t WHERE sim >= t) AS similarity_threshold, id1, id2, round(sim, 6) AS similarity, round(lr, 6) AS log_ratio FROM s WHERE lr >= 1 AND sim >= 0""")
+def cliff_sets_by_threshold(spark, d):
+    return rounded(cliffs.sets_by_threshold(pair_table(spark, d)))
+
+
+@query(f"""{_S}{_RANKED}, w(p) AS (VALUES {_PERCENTS})
+SELECT (SELECT min(p) FROM w WHERE rk <= ceil(total * p / 100.0))::BIGINT AS percent_rank, rk AS rank, id1, id2, round(sim, 6) AS similarity, round(lr, 6) AS log_ratio FROM ranked WHERE lr >= 1""")
+def cliff_sets_by_rank(spark, d):
+    return rounded(cliffs.sets_by_rank(pair_table(spark, d)))
+
+
+@query(f"""{_S}{_RANKED} SELECT 'cosine' AS run, (SELECT count(*) FROM ranked WHERE rk <= ceil(total * 2 / 100.0) AND lr >= 1) AS n_cliffs_top2, (SELECT round(quantile_cont(l, 0.9), 6) FROM lip) AS lipschitz_p90,
+  (SELECT round(stddev_pop(sim), 6) FROM s WHERE g1 = g2 AND lr >= 1) AS group_std, (SELECT round(stddev_pop(sim), 6) FROM s WHERE pos2 = pos1 + 7 AND lr >= 1) AS listed_std""")
+def run_extra_measures(spark, d):
+    return rounded(runs.extra_measures(pair_table(spark, d), "cosine", mmp_list(spark, d)))
+
+
+@query(f"""{_two_runs_sql()}, v AS (
+  SELECT 'cosine' AS run, quantile_cont(l, 0.9) AS p90, quantile_cont(l, 0.99) AS p99 FROM lip
+  UNION ALL SELECT 'euclidean', quantile_cont(lr / greatest(1 - sim, 0.01), 0.9), quantile_cont(lr / greatest(1 - sim, 0.01), 0.99) FROM s2)
+SELECT run, 'lipschitz_p90' AS "column", round(p90, 6) AS value, p90 = min(p90) OVER () AS best FROM v UNION ALL SELECT run, 'lipschitz_p99', round(p99, 6), p99 = min(p99) OVER () FROM v""")
+def run_best_cells(spark, d):
+    rows = []
+    for metric in ("cosine", "euclidean"):
+        found = stats.quantiles(pairs.valid(correlation.with_lipschitz(pair_table(spark, d, metric))), "regularized_lipschitz", [0.9, 0.99])[None]
+        rows.append((metric, *found))
+    return rounded(runs.best_cells(spark.createDataFrame(rows, "run string, lipschitz_p90 double, lipschitz_p99 double")))
+
+
+def _histogram_sql(value: str, table: str, bins: int, where: str = "TRUE") -> str:
+    return f"""hv AS (SELECT {value} AS x FROM {table} WHERE {where}), he AS (SELECT min(x) AS lo, max(x) AS hi FROM hv WHERE x IS NOT NULL),
+hn AS (SELECT least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1})::BIGINT AS bin, count(*) AS n FROM hv, he WHERE x IS NOT NULL GROUP BY 1)
+SELECT b.bin, round(lo + b.bin * ((hi - lo) / {bins}), 6) AS lower, round(lo + (b.bin + 1) * ((hi - lo) / {bins}), 6) AS upper, coalesce(hn.n, 0) AS n
+FROM range({bins}) b(bin) CROSS JOIN he LEFT JOIN hn USING (bin)"""
+
+
+@query(f"{_S}, {_histogram_sql('d', 's', 50)}")
+def plot_distance_histogram(spark, d):
+    return rounded(plotdata.distance_histogram(pair_table(spark, d)))
+
+
+_HUNDREDTHS = "[" + ", ".join(repr(i / 100) for i in range(101)) + "]"
+
+
+@query(f"{_S} SELECT unnest({_HUNDREDTHS})::DOUBLE AS quantile, round(unnest(quantile_cont(d, {_HUNDREDTHS})), 6) AS value FROM s")
+def plot_distance_cdf(spark, d):
+    return rounded(plotdata.empirical_cdf(pair_table(spark, d), "distance_scaled"))
+
+
+@query(f"{_S}, t AS (SELECT quantile_cont(l, 0.9) AS top FROM lip) SELECT pos1, pos2, round(least(l, t.top), 6) AS slope FROM lip, t")
+def plot_slope_heatmap(spark, d):
+    return rounded(plotdata.slope_heatmap(pair_table(spark, d)))
+
+
+_NORMAL = [0.001 + i * 0.998 / 199 for i in range(200)]
+
+
+@query(f"""{_S} SELECT round(unnest([{", ".join(repr(NormalDist().inv_cdf(p)) for p in _NORMAL)}])::DOUBLE, 6) AS theory,
+  round(unnest(quantile_cont(lr, [{", ".join(map(repr, _NORMAL))}])), 6) AS sample FROM s""")
+def plot_normal_quantiles(spark, d):
+    return rounded(plotdata.normal_quantiles(pair_table(spark, d), "log_ratio"))
+
+
+@query(f"""{_S}, m AS (SELECT * FROM lip WHERE g1 = g2 AND lr >= 1),
+v AS (SELECT 'similarity' AS measure, sim AS x FROM m UNION ALL SELECT 'log_ratio', lr FROM m UNION ALL SELECT 'regularized_lipschitz', l FROM m),
+e AS (SELECT measure, min(x) AS lo, max(x) AS hi, least(50, greatest(10, count(*) // 5)) AS k FROM v GROUP BY measure),
+n AS (SELECT measure, least(floor((x - lo) / (hi - lo) * k), k - 1)::BIGINT AS bin, count(*) AS n FROM v JOIN e USING (measure) GROUP BY 1, 2)
+SELECT e.measure, b.bin, round(lo + b.bin * ((hi - lo) / k), 6) AS lower, round(lo + (b.bin + 1) * ((hi - lo) / k), 6) AS upper, coalesce(n.n, 0) AS n
+FROM e JOIN range(50) b(bin) ON b.bin < k LEFT JOIN n ON n.measure = e.measure AND n.bin = b.bin""")
+def plot_group_panels(spark, d):
+    return rounded(plotdata.subset_panels(pairs.group_pairs(pair_table(spark, d)).filter(pairs.is_cliff())))
+
+
+@query(f"""{_S}, r(a, z) AS (VALUES (0.0::DOUBLE, 0.5::DOUBLE), (0.5, 0.7), (0.7, 0.8), (0.8, 0.9), (0.9, 1.0)),
+v AS (SELECT a, ln(l) AS x FROM r LEFT JOIN lip ON l > 0 AND sim >= a AND (sim < z OR (z = 1.0 AND sim = 1.0))),
+e AS (SELECT a, CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo, CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi FROM v GROUP BY a),
+n AS (SELECT a, least(floor((x - lo) / (hi - lo) * 30), 29)::BIGINT AS bin, count(*) AS n FROM v JOIN e USING (a) WHERE x IS NOT NULL GROUP BY 1, 2)
+SELECT e.a AS bin_lower, b.bin, round(lo + b.bin * ((hi - lo) / 30), 6) AS lower, round(lo + (b.bin + 1) * ((hi - lo) / 30), 6) AS upper, coalesce(n.n, 0) AS n
+FROM e CROSS JOIN range(30) b(bin) LEFT JOIN n ON n.a = e.a AND n.bin = b.bin WHERE lo IS NOT NULL""")
+def plot_log_slopes(spark, d):
+    return rounded(plotdata.log_slope_histograms(pair_table(spark, d)))
+
+
+@query(f"{_S} SELECT pos1, pos2, round(sim, 6) AS similarity, round(lr, 6) AS log_ratio, lr >= 1 AS is_cliff FROM s WHERE lr IS NOT NULL")
+def plot_similarity_and_ratio(spark, d):
+    return rounded(plotdata.similarity_and_ratio(pair_table(spark, d)))
+
+
+@query(f"""{_S} SELECT i / 20 AS similarity_threshold, count(sim) AS n_pairs, round(count(*) FILTER (WHERE sim IS NOT NULL AND NOT coalesce(lr >= 1, FALSE)) / nullif(count(sim), 0), 6) AS accuracy
+FROM range(21) r(i) LEFT JOIN s ON least(floor(sim * 20), 20) >= i GROUP BY i""")
+def plot_threshold_accuracy(spark, d):
+    return rounded(plotdata.threshold_accuracy(pair_table(spark, d)))
+
+
+@query(f"""WITH {_C}, x AS (SELECT pos, id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM c), m AS (SELECT i, avg(x) AS m FROM x GROUP BY i)
+SELECT id AS compound_id, pos, round(sqrt(sum((x - m) * (x - m))), 6) AS distance FROM x JOIN m USING (i) GROUP BY id, pos""")
+def plot_distance_from_center(spark, d):
+    return rounded(plotdata.distance_from_center(compound_table(spark, d)))
+
+
+@query(f"WITH {_C}, x AS (SELECT unnest(e) AS x, generate_subscripts(e, 1) - 1 AS i FROM c) SELECT i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM x GROUP BY i")
+def plot_coordinates(spark, d):
+    return rounded(plotdata.coordinates(compound_table(spark, d)))
+
+
+@query(f"WITH {_C}, ln AS (SELECT sqrt(list_dot_product(e, e)) AS len FROM c WHERE NOT cens), {_histogram_sql('len', 'ln', 50)}")
+def plot_vector_lengths(spark, d):
+    return rounded(stats.histogram(geometry.vector_lengths(compound_table(spark, d).filter("NOT censored")), "length", 50))
+
+
+@query(f"WITH {_C}, x AS (SELECT abs(a.la - b.la) AS lr FROM c a JOIN c b ON a.pos < b.pos WHERE NOT a.cens AND NOT b.cens), {_histogram_sql('lr', 'x', 50)}")
+def plot_log_ratios(spark, d):
+    return rounded(stats.histogram(_ratios(spark, d), "lr", 50))
+
+
+@query()
+def h0_landscape(spark, d):
+    """The five largest tents at 500 steps."""
+    return rounded(graph.landscape(graph.persistence(_forest(spark, d), _nodes(spark, d))))
+
+
+@query()
+def pca2_projection(spark, d):
+    return compounds.projection(compound_table(spark, d))
+
+
+@query()
+def pair_classifier(spark, d):
+    """Areas under the curve of models, features and controls on pairs of unseen groups."""
+    found = probe.report(compound_table(spark, d), pairs.group_pairs(pair_table(spark, d)))
+    return spark.createDataFrame(list(found.items()), "model string, auc double")

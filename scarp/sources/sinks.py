@@ -44,6 +44,16 @@ def coordinates(pairs: DataFrame, value: str) -> DataFrame:
     return pairs.filter(f"{value} IS NOT NULL").selectExpr("id1 AS i", "id2 AS j", f"{value} AS value")
 
 
+def write_matrices(pairs: DataFrame, folder: str | Path, values: dict[str, str]) -> list[str]:
+    """Each named pair column as a dense .npy matrix, and the order of its ids as JSON; for as many compounds as fit the driver."""
+    ids = [r["id"] for r in pairs.selectExpr("explode(array(id1, id2)) AS id").distinct().orderBy("id").collect()]
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for name, column in values.items():
+        np.save(Path(folder, f"{name}.npy"), dense(pairs, column, ids))
+    write_json(Path(folder, "matrix_keys.json"), ids)
+    return ids
+
+
 def dense(pairs: DataFrame, value: str, ids: list[str]) -> np.ndarray:
     """A small symmetric matrix on the driver, NaN where pairs have no value; for as many ids as the caller lists."""
     at = {k: i for i, k in enumerate(ids)}

@@ -1,6 +1,7 @@
 import json
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,16 +67,29 @@ def test_reuse_of_vectors():
 
 def test_embed_analyze_compare(spark, tmp_path):
     path, _ = csv(tmp_path, 120)
-    base = {"dataset": str(path), "embedding_method": "hashed_ngrams", "n_bits": 64, "output_dir": str(tmp_path / "out"), "censor_threshold": 80}
+    base = {"dataset": str(path), "embedding_method": "hashed_ngrams", "n_bits": 64, "output_dir": str(tmp_path / "out"), "censor_threshold": 80, "mmp_file": str(tmp_path / "none.csv")}
     stored = pipelines.embed(spark, base | {"methods": ["hashed_ngrams"], "output_file": str(tmp_path / "e.parquet")})
     assert spark.read.parquet(stored).count() > 50
+    embedded = json.loads(Path(f"{stored}.summary.json").read_text())
+    assert {"mixture", "log_ratio", "log_ratio_kww", "hashed_ngrams"} <= embedded.keys() and len(spark.read.parquet(f"{stored}.plots/hashed_ngrams/pca2").first()["pc"]) == 2
     folders = [pipelines.analyze(spark, base | {"distance_metric": m}) for m in ("tanimoto", "hamming")]
     folders.append(pipelines.analyze(spark, base | {"distance_metric": "cosine", "embeddings_file": stored, "center": True, "large_coords_to_trim": 2}))
     for f in folders:
         s = json.loads(Path(f, "summary.json").read_text())
         assert sum(s["status"].values()) == s["n_compounds"] * (s["n_compounds"] - 1) // 2 and Path(f, "report.md").read_text().startswith("# molecules")
+        assert s["universe"]["n_compounds"] == s["n_compounds"] and s["dip"]["label"] in ("unimodal", "multimodal") and s["zero"]["n_valid"] > 0
+        assert {"n_total_pairs", "fraction_cliffs", "kww_fit", "zero_fraction"} <= s["subsets"]["group"].keys() and s["subsets"]["listed"]["error"] == "file_not_found"
+        assert {p.name for p in Path(f, "plots").iterdir()} >= {"cliff_fractions", "slope_density", "slope_heatmap", "log_slopes", "distance_models", "group_panels"}
+        keys = json.loads(Path(f, "matrices", "matrix_keys.json").read_text())
+        assert np.load(Path(f, "matrices", "similarity.npy")).shape == (len(keys), len(keys)) == (s["n_compounds"],) * 2
+        ranks = spark.read.parquet(f"{f}/cliffs_by_rank").filter("percent_rank <= 5").count()
+        assert ranks == spark.read.parquet(f"{f}/top_cliffs").count()
     best = pipelines.compare(spark, [*folders, str(tmp_path / "nothing")], str(tmp_path / "cmp"))
     assert best.count() >= 8 and spark.read.parquet(f"{tmp_path}/cmp/dice_top5pct").count() == 3
+    for name in ("configurations", "structure", "cliffs", "cliffs_best", "correlation", "subset_group", "subset_listed", "irreducibility", "landscape_norms"):
+        assert spark.read.parquet(f"{tmp_path}/cmp/{name}").count() >= 3, name
+    assert len({r["run"] for r in spark.read.parquet(f"{tmp_path}/cmp/structure").collect()}) == 3
+    assert "## structure" in Path(tmp_path, "cmp", "report.md").read_text()
     with pytest.raises(ValueError):
         pipelines.analyze(spark, base | {"distance_metric": "tanimoto", "similarity_threshold": 1.5})
 
@@ -94,8 +108,69 @@ def test_plot_tables(spark):
 
 def test_pair_classifier(spark):
     vectors = probe.reduced(queries.compound_table(spark, SF), 4)
-    got = probe.auc(probe.pair_features(queries.pair_table(spark, SF).filter(F.col("pos2") < 120), vectors))
-    assert set(got) == {"logistic", "perceptron"} and all(0 <= v <= 1 for v in got.values())
+    p = queries.pair_table(spark, SF).filter(F.col("pos2") < 120)
+    got = probe.auc(probe.pair_features(p, vectors))
+    assert set(got) == {"logistic", "perceptron", "nearest", "control_neighbour_rate", "control_permuted"} and all(0 <= v <= 1 for v in got.values())
+    assert len(probe.pair_features(p, vectors, half="sum").first()["features"]) == 4
+    assert set(probe.auc(probe.pair_features(p.filter("log_ratio < 1"), vectors)).values()) == {None}
+
+
+def test_nearest_pairs_decide(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(f"a{i}", f"b{i}", Vectors.dense([float(i % 2), 0.1 * i]), float(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, ["id1", "id2", "features", "label"])
+    got = probe.nearest(df, df, k=1).collect()
+    assert len(got) == 40 and all(r["rawPrediction"] == r["label"] for r in got)
+
+
+def test_downloads_are_kept(tmp_path, monkeypatch):
+    source = tmp_path / "a b.csv"
+    source.write_text("x")
+    got = datasets._download(source.as_uri(), tmp_path / "data")
+    source.write_text("y")
+    assert got.read_text() == "x" and datasets._download(source.as_uri(), tmp_path / "data") == got and got.read_text() == "x"
+    assert datasets.fetched("local.csv") == "local.csv" and not list((tmp_path / "data").glob("*.part"))
+
+
+def test_encoders_load_once_and_optional_ones_keep_rows(spark, monkeypatch):
+    from scarp.functions import featurizers
+
+    monkeypatch.setattr(featurizers, "FEATURIZERS", dict(featurizers.FEATURIZERS))
+    monkeypatch.setattr(featurizers, "OPTIONAL", {"maybe"})
+    for name in ("sure", "maybe"):
+        featurizers.register_encoder(name, lambda: lambda texts: [None if t == "bad" else [len(t), 1] for t in texts])
+    df = spark.createDataFrame([("abc",), ("bad",), (None,)], "structure string")
+    assert [r["sure"] for r in featurizers.featurize(df, ["sure"]).collect() if r["structure"]] == [[3.0, 1.0]]
+    assert featurizers.featurize(df, ["maybe"]).count() == 3
+
+
+def test_stored_vectors_are_reused_by_their_options(spark, tmp_path, monkeypatch):
+    path, _ = csv(tmp_path, 30)
+    monkeypatch.chdir(tmp_path)
+    base = {"dataset": str(path), "embedding_method": "hashed_ngrams", "n_bits": 16}
+    pipelines.embed(spark, base | {"methods": ["hashed_ngrams"]})
+    assert len(pipelines.load(spark, base | {"n_bits": 32})[0].first()["embedding"]) == 16  # only circular fingerprints depend on them
+    with pytest.raises(ValueError):
+        pipelines.load(spark, base | {"embeddings_file": "embeddings/molecules.parquet", "embedding_method": "morgan"})
+
+
+def test_a_pair_list_is_read_or_its_fault_recorded(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
+    assert pipelines._listed(spark, str(tmp_path / "bad.csv"))[1]["error"] == "missing_columns" and pipelines._listed(spark, None) == (None, None)
+
+
+def test_landscapes(spark):
+    from scarp.operators import graph
+
+    diagram = spark.createDataFrame([(0.0, 1.0), (0.0, 1.0), (0.0, 0.5), (0.0, float("inf"))], "birth double, death double")
+    got = {(r["layer"], round(r["t"], 6)): r["value"] for r in graph.landscape(diagram, steps=5, layers=3).collect()}
+    assert [got[1, t] for t in (0, 0.25, 0.5, 0.75, 1)] == [0, 0.25, 0.5, 0.25, 0] == [got[2, t] for t in (0, 0.25, 0.5, 0.75, 1)]
+    assert [got[3, t] for t in (0, 0.25, 0.5)] == [0, 0.25, 0]
+    two = spark.createDataFrame([(r, k, t, v * f) for r, f in (("a", 1.0), ("b", 3.0)) for (k, t), v in got.items()], "run string, layer int, t double, value double")
+    norms = {r["run"]: r["norm"] for r in graph.landscape_norms(two).collect()}
+    assert norms["b"] == pytest.approx(3 * norms["a"])
+    assert graph.landscape_distances(two).first()["distance"] == pytest.approx(2 * sum(v * v for v in got.values()) ** 0.5)
 
 
 def test_embed_fits_the_mixture_to_all_values(spark, tmp_path):
