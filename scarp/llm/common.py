@@ -10,7 +10,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker takes apart at once; a longer text is taken alone.
 CHUNK_BYTES = 4 << 20
@@ -21,10 +22,13 @@ BATCH_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this session below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (local tests) a temporary folder is made and set.
+    Where that setting is absent, a temporary folder is made and set if all runs in one local process (as
+    in tests); on a cluster it must be given.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="scarp-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
@@ -61,8 +65,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def carried(documents: DataFrame, *more: str | Column) -> tuple[DataFrame, list[str], list[str]]:
+    """(documents under private column names and what `more` adds, the private names, the own names): no own name can clash then."""
+    names = documents.columns
+    held = [f"_column{i}" for i in range(len(names))]
+    return documents.select(*[F.col(f"`{n}`").alias(h) for n, h in zip(names, held, strict=True)], *more), held, names
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with small batches; a worker gives unused memory back when a task ends.
+    """mapInArrow with small batches (the session's setting is lowered for it); a worker gives unused memory back when a task ends.
 
     Workers serve many tasks of all kinds, and what one has freed would else add to what the
     next one needs.

@@ -203,7 +203,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, columns: Sequence[
     """
     windows = materialize(item_windows(benchmark, window), "windows")
     distinct = windows.select("size", "hash", "print").distinct()
-    marked = find_windows(documents, distinct, columns, pass_windows)
+    held = [f"_column{i}" for i in range(len(columns))]
+    rows = documents.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(columns, held, strict=True)], F.col("text").cast("string").alias("text"))
+    marked = find_windows(rows, distinct, held, pass_windows)
     spans = F.array_sort("_spans")
     union = F.aggregate(
         spans,
@@ -212,7 +214,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, columns: Sequence[
             (s["n"] + F.greatest(x["stop"] - F.greatest(s["end"], x["start"]), F.lit(0).cast("long"))).alias("n"), F.greatest(s["end"], x["stop"]).alias("end")
         ),
     )["n"]
-    marked = marked.select(*columns, F.col("_n_words").alias("n_words"), union.alias("n_hit"), spans.alias("spans"), F.array_sort(F.array_distinct("_windows")).alias("_windows"))
+    marked = marked.select(*held, F.col("_n_words").alias("n_words"), union.alias("n_hit"), spans.alias("spans"), F.array_sort(F.array_distinct("_windows")).alias("_windows"))
     marked = materialize(marked, "marked")
     sets = marked.filter("size(_windows) > 0").select("_windows").distinct().withColumn("_set", F.sha2(F.array_join("_windows", ","), 256))
     pairs = sets.select("_set", F.explode("_windows").alias("_hash"))
@@ -224,7 +226,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, columns: Sequence[
     hit = hit.join(items, F.col("_set") == F.col("_of"), "left").drop("_set", "_of")
     clean = marked.filter("size(_windows) = 0").withColumn("item_ids", F.lit(None).cast("array<string>"))
     out = hit.unionByName(clean).withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
-    return out.select(*columns, "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans", (F.col("n_hit") > 0).alias("contaminated"))
+    out = out.select(*held, "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans", (F.col("n_hit") > 0).alias("contaminated"))
+    return out.toDF(*columns, *out.columns[len(held) :])
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_windows: int = PASS_WINDOWS) -> DataFrame:

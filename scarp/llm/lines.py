@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import carried, materialize
 
 MIN_SITES = 10
 #: log2 of a sketch's registers; its standard error is 1.04 / sqrt(2 ** LG_K), 1.6 %.
@@ -43,21 +43,22 @@ def remove_boilerplate(documents: DataFrame, site: str = "source", min_sites: in
     least min_sites sites show is removed; the others stay, joined by \\n. Null texts stay
     null and have no lines; equal rows get equal results; an empty table gives no rows.
     """
-    own = ("cleaned", "n_lines", "n_removed", "removed_chars", "_text_hash", "_places")
-    documents = documents.select(*[c for c in documents.columns if c not in own])
-    key = [F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash")]
-    found = _lines(documents, *key).join(boilerplate(documents, site, min_sites), ["h1", "h2"], "left_semi")
+    new = ("cleaned", "n_lines", "n_removed", "removed_chars")
+    rest = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c not in new])
+    own, held, names = carried(rest, F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_text_hash"))
+    found = _lines(own, F.col("_id").alias("_doc"), F.col("_text_hash").alias("_hash")).join(boilerplate(documents, site, min_sites), ["h1", "h2"], "left_semi")
     places = found.groupBy("_doc", "_hash").agg(F.collect_set("place").alias("_places"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
-    joined = documents.withColumn("_text_hash", F.xxhash64("text")).join(places, same, "left").drop("_doc", "_hash", "_text_hash")
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
+    joined = own.join(places, same, "left")
     lines = F.split("text", "\n")
     gone = F.coalesce("_places", F.array().cast("array<int>"))
     kept = F.filter(lines, lambda line, i: ~F.array_contains(gone, i))
     removed = F.filter(lines, lambda line, i: F.array_contains(gone, i))
     counted = F.filter(lines, lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    out = joined.withColumn("cleaned", F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    out = out.withColumn("n_lines", F.coalesce(F.size(counted), F.lit(0)).cast("long"))
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")))
-    out = out.withColumn("n_removed", F.size(gone).cast("long"))
     size = F.when(F.col("_places").isNull(), F.lit(0)).otherwise(F.aggregate(removed, F.lit(0), lambda n, line: n + F.length(line)))
-    return out.withColumn("removed_chars", size.cast("long")).drop("_places")
+    values = {
+        "cleaned": F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
+        "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.coalesce(F.size(counted), F.lit(0))).cast("long"),
+        "n_removed": F.size(gone).cast("long"), "removed_chars": size.cast("long"),
+    }
+    return joined.select(*held, *[values[c].alias(f"_new{i}") for i, c in enumerate(new)]).toDF(*names, *new)

@@ -15,11 +15,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import carried, materialize
 
 #: A word is a run of anything but space and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 _BUCKETS = 4096
+#: What mix() adds.
+NEW = ("size", "source_size", "target", "rate", "copies")
 
 
 def word_count(text: Column) -> Column:
@@ -134,8 +136,8 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     differ from its target by about a small document (and those that tie with it), no document
     gets more than `cap` copies rounded up, and reruns agree, as all draws are hashes.
     """
-    own = {"size", "source_size", "target", "rate", "copies", "_hash", "_at", "_cut", "_small_cut", "_gap", "_gap_cut", "lam", "mean_size"}
-    plain = documents.select(*[c for c in documents.columns if c not in own])
+    names = [c for c in documents.columns if c not in NEW]
+    plain, held, _ = carried(documents.select(*[F.col(f"`{c}`") for c in names]), F.col("doc_id"), F.col("text"), F.col("source"))
     sized = plain.withColumn("size", word_count(F.col("text"))).withColumn("_hash", F.xxhash64("doc_id", "text"))
     weighed = materialize(sized.select("source", "size", "_hash"), "sizes")
     histogram = materialize(weighed.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
@@ -146,7 +148,7 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     joined = joined.withColumn("rate", _rate(cap)).withColumn("_at", _priority(F.col("rate")))
     late = F.coalesce((F.col("size") <= F.col("_gap")) & (F.col("_at") <= F.col("_gap_cut")), F.lit(False))
     joined = joined.withColumn("copies", F.floor("rate").cast("long") + (_first_extra() | late).cast("long"))
-    return joined.select(*plain.columns, "size", "source_size", "target", "rate", "copies")
+    return joined.select(*held, *NEW).toDF(*names, *NEW)
 
 
 def _cuts(weighed: DataFrame, state: DataFrame, cap: float) -> DataFrame:
@@ -216,6 +218,12 @@ def _cut(drawn: DataFrame, rest: DataFrame) -> DataFrame:
 
 
 def copies_of(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """`columns` of each document as often as the mix takes it; documents with 0 copies go, equal rows are repeated alike."""
     repeated = F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))
     return mixed.select(*columns, repeated.alias("_again")).drop("_again")
+
+
+def take(documents: DataFrame, **options) -> DataFrame:
+    """documents as often as mix() with these options takes them, with their own columns, whatever these are called."""
+    own, held, names = carried(documents, F.col("doc_id"), F.col("text"), F.col("source"))
+    return copies_of(mix(own, **options), held).toDF(*names)

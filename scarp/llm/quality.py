@@ -201,7 +201,10 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Tr
     """
     sample = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.min("quality").cast("long").alias("_good"))
     sample = sample.orderBy(F.xxhash64("_doc"), "_doc").limit(rows)
-    held = documents.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_doc"))
+    held = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_doc"))
+    # of rows with one doc_id that with the smallest hash of the text, so there are at most `rows`
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    held = held.groupBy(F.col("_doc").alias("doc_id"), "_good").agg(first["text"].alias("text"))
     schema = "doc_id long, good long, features array<double>"
 
     def run(batches):
@@ -209,7 +212,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Tr
             _, x = statistics(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_good"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "good", "features"])
 
-    found = map_batches(held.select(F.col("doc_id").cast("long"), "_good", F.col("text").cast("string")), run, schema).limit(2 * rows).toPandas()
+    found = map_batches(held.select(F.col("doc_id").cast("long"), "_good", "text"), run, schema).toPandas()
     if found.empty:
         return None
     x = np.stack(found["features"].to_list())

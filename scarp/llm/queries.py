@@ -37,26 +37,31 @@ SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, length(loss)::BIGINT
 """
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict, a row each; null texts have no words and fail, without labels of both kinds the base rule decides."""
     documents = table(spark, sf_dir, "documents")
     return quality.assess(documents, quality.train(documents, table(spark, sf_dir, "labels")))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict; null and empty texts have none, equal rows repeat theirs."""
     words = secrets.dictionary(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations"))
     forest = secrets.train(secrets.example_findings(spark), words)
     return secrets.scan(table(spark, sf_dir, "documents"), forest, words)
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages between texts and the members of each text's class; null and short texts have none, equal texts are one class."""
     return passages.report(table(spark, sf_dir, "documents"))
 
 
 def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; a null text has no lines and counts as empty in the hash, null sources do not count as sites."""
     found = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "removed_chars", F.sha2(F.coalesce("cleaned", F.lit("")), 256).alias("cleaned_sha256"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null texts have size 0 and null sources come last, equal rows get equal copies."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
@@ -68,23 +73,27 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, read back from the files; null and empty texts have the end id alone, null doc_ids come first."""
     path = new_path(spark, "tokens")
     tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return tokens.read_tokens(spark, path)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; texts without words have fingerprint 0 and are one component, equal rows stay."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null texts have no words, null items are not listed, an empty benchmark hits nothing."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed, "contaminated")
 
 
 def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null and empty texts are the end alone, null doc_ids are training texts."""
     return ctw.score(table(spark, sf_dir, "documents"))
 
 

@@ -12,10 +12,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, map_batches, materialize, texts_of
+from .common import carried, chunks, map_batches, materialize, texts_of
 from .graph import components
 
 DISTANCE = 3
@@ -204,10 +204,16 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_one(documents: DataFrame, k: int = 3) -> DataFrame:
-    """documents with one of each component; which columns there are does not matter."""
+    """documents with one of each component; which columns there are does not matter.
+
+    Of rows with the keeper's doc_id and text, that with the smallest hash of all columns stays. Null and
+    empty texts are alike, so one of them stays; an empty table gives no rows.
+    """
     kept = near_duplicates(documents, k).filter("doc_id <=> keeper_id AND hash = keeper_hash").select(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash")).distinct()
     kept = materialize(kept, "kept")
-    own = documents.withColumn("_text_hash", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
-    once = own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    return once.select(*documents.columns)
+    plain = [c for c, t in documents.dtypes if "map<" not in t and "variant" not in t]
+    own, held, names = carried(documents, F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text_hash"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]).alias("_all"))
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash"))
+    order = Window.partitionBy("_id", "_text_hash").orderBy("_all")
+    once = own.join(kept, same, "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return once.select(*held).toDF(*names)

@@ -105,3 +105,78 @@ def test_everything_held_out(spark):
     d = spark.createDataFrame([(i, "a b", "s") for i in ids], "doc_id long, text string, source string")
     got = ctw.score(d).collect()
     assert all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and abs(r["bits_per_byte"] - 8) < 1e-9 for r in got)
+
+
+#: Names that the operators use themselves.
+CLASHES = ("_doc", "_hash", "_id", "_text", "_source", "_column0", "_c0", "lam", "mean_size", "_at", "_cut", "_gap", "size", "rate", "target", "copies", "source_size", "_places", "_text_hash", "h1", "fp", "_n", "_all", "kept", "score")
+
+
+def clashing(spark, rows=ROWS):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
+def own_values_stay(df, replaced=()):
+    row = df.first()
+    assert all(row[c] == f"own {c}" for c in CLASHES if c not in replaced)
+
+
+def test_clashing_columns_keep_their_values(spark):
+    d = clashing(spark)
+    got = lines.remove_boilerplate(d, min_sites=2)
+    own_values_stay(got)
+    cleaned = {(r["doc_id"], r["source"]): (r["cleaned"], r["n_lines"], r["n_removed"]) for r in got.collect()}
+    assert cleaned[0, "a"] == (None, 0, 0) and cleaned[8, "c"] == ("same line\nsame line\nother", 3, 0) and cleaned[5, "c"] == ("", 1, 1)
+    own_values_stay(simhash.keep_one(d))
+    own_values_stay(mixing.mix(d), mixing.NEW)
+    taken = mixing.take(d)
+    assert taken.columns == d.columns
+    own_values_stay(taken)
+    found = decontaminate.contamination(d, benchmark(spark), ["doc_id", "text", "_column0", "n_hit"] if "n_hit" in d.columns else ["doc_id", "text", "_column0"])
+    assert {(r["doc_id"], r["text"]) for r in found.filter("contaminated").collect() if r["doc_id"] == 3} == {(3, "one two")} and found.first()["_column0"] == "own _column0"
+    own_values_stay(decontaminate.drop_contaminated(d, benchmark(spark)))
+
+
+def test_of_rows_that_differ_elsewhere_the_same_one_stays(spark):
+    rows = [(1, "a b c d e", "x"), (1, "a b c d e", "y"), (1, "a b c d e", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = simhash.keep_one(df).collect()
+    assert len(one) == 1 and all(simhash.keep_one(df.repartition(n)).collect() == one for n in (1, 2, 3))
+
+
+def test_repeated_labelled_documents_train_on_one_text(spark):
+    texts = [(i % 30, " ".join(f"w{(i * 7 + j) % (9 if i % 2 else 400)}" for j in range(60))) for i in range(90)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality long")
+    one, two = (quality.assess(d.repartition(n), quality.train(d.repartition(n), marks)).select("doc_id", "score") for n in (1, 4))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_pipeline_stages_on_hard_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    marks, items = labels(spark).select("doc_id", "quality"), benchmark(spark).select("item_id", "text")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {"quality_rules": {4, 5}, "simhash_near_dedup": {0, 2, 3, 4, 7, 8, 9, None}, "benchmark_decontamination": {0, 1, 2, 6, 7, 8, 9, None}, "source_mixing": {0, 1, 2, 3, 4, 5, 6, 7, 8, 9, None}}
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, clashing(spark), str(tmp_path)), stage(spark, clashing(spark, []), str(tmp_path))
+        assert none.count() == 0
+        if name == "token_output":
+            assert got.count() == len(ROWS)
+            continue
+        assert got.columns == clashing(spark).columns and none.columns == got.columns
+        ids = {r["doc_id"] for r in got.collect()}
+        if ids:
+            own_values_stay(got)
+        assert ids <= want[name] and (ids == want[name] or name in ("quality_rules", "source_mixing", "simhash_near_dedup")), (name, ids)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from scarp.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(session)
