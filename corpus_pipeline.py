@@ -9,27 +9,27 @@ from scarp.llm.common import materialize, new_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the rules and trees reject."""
+    """Drop the documents that the rules and trees reject; null and short texts go, whatever columns there are stay."""
     return quality.keep_good(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group."""
+    """Keep one document of each near-duplicate group; texts without words are one group, of equal rows one stays."""
     return simhash.keep_one(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark window."""
+    """Drop the documents that hold a benchmark window; null texts hold none, an empty benchmark drops nothing."""
     return decontaminate.drop_contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents until every source has its target share."""
-    return mixing.copies_of(mixing.mix(docs), docs.columns)
+    """Repeat or leave out documents until every source has its target share; null is a source, empty texts are taken once."""
+    return mixing.take(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token files and return what is read back from them."""
+    """Write token files and return what is read back from them, a row for each copy; an empty table gives none."""
     path = new_path(spark, "tokens")
     tokens.write_tokens(docs, path, queries.tokenizer_path())
     return tokens.read_tokens(spark, path)
@@ -48,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each reading what its predecessor wrote; only doc_id, text and source need be there."""
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -23,6 +23,8 @@ DEFAULTS = {
     "scaling_cutoff_percentile": 99.0, "seed": 42, "n_compounds": None, "n_bits": None, "radius": None, "chirality": None,
 }
 OPTIONS = ("n_bits", "radius", "chirality")
+#: Where embed writes and analyze looks unless a config says otherwise.
+EMBEDDINGS = "embeddings"
 #: Compounds up to which analyze also writes dense matrices, which the driver holds.
 MATRIX_COMPOUNDS = 5000
 
@@ -49,7 +51,7 @@ def load(spark: SparkSession, config: dict) -> tuple[DataFrame, datasets.Dataset
         if not check_reuse(spark.read.parquet(stored).columns, _stored_options(stored), method, _options(config)):
             raise ValueError(f"{stored} has no vectors {method!r}")
     else:
-        usual = f"embeddings/{dataset.name}.parquet"
+        usual = f"{EMBEDDINGS}/{dataset.name}.parquet"
         if Path(usual).exists() and (method != "morgan" or _stored_options(usual) == _options(config)) and method in spark.read.parquet(usual).columns:
             stored = usual
     if stored:
@@ -241,7 +243,7 @@ def embed(spark: SparkSession, config: dict) -> str:
     methods = config.get("methods") or [m for m in FEATURIZERS if m == "hashed_ngrams"]
     rows = datasets.read_compounds(spark, dataset).withColumn("compound_id", F.trim("structure"))
     rows = compounds.keep_first(featurize(rows, methods, **_options(config)))
-    path = config.get("output_file", f"embeddings/{dataset.name}.parquet")
+    path = config.get("output_file", f"{EMBEDDINGS}/{dataset.name}.parquet")
     rows.write.mode("overwrite").parquet(path)
     sinks.write_json(f"{path}.options.json", _options(config))
     plots = f"{path}.plots"

@@ -147,12 +147,12 @@ def test_encoders_load_once_and_optional_ones_keep_rows(spark, monkeypatch):
 
 def test_stored_vectors_are_reused_by_their_options(spark, tmp_path, monkeypatch):
     path, _ = csv(tmp_path, 30)
-    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(pipelines, "EMBEDDINGS", str(tmp_path))
     base = {"dataset": str(path), "embedding_method": "hashed_ngrams", "n_bits": 16}
     pipelines.embed(spark, base | {"methods": ["hashed_ngrams"]})
     assert len(pipelines.load(spark, base | {"n_bits": 32})[0].first()["embedding"]) == 16  # only circular fingerprints depend on them
     with pytest.raises(ValueError):
-        pipelines.load(spark, base | {"embeddings_file": "embeddings/molecules.parquet", "embedding_method": "morgan"})
+        pipelines.load(spark, base | {"embeddings_file": f"{tmp_path}/molecules.parquet", "embedding_method": "morgan"})
 
 
 def test_a_pair_list_is_read_or_its_fault_recorded(spark, tmp_path):
