@@ -46,21 +46,23 @@ def power_law(n, a, s):
 
 def fit_power_law(percent, share) -> dict:
     """a, s of share = a * percent^s with r_squared and n_points; success tells whether there was enough."""
-    percent, share = np.asarray(percent, float), np.asarray(share, float)
-    fine = np.isfinite(percent) & np.isfinite(share) & (percent > 0)
-    x, y = percent[fine], share[fine]
-    if len(x) < 2:
-        return {"success": False, "a": None, "s": None, "r_squared": None, "n_points": int(fine.sum())}
-    start = (1e-4, 1.0)
-    if (y > 1e-15).sum() >= 2:
-        s, log_a = np.polyfit(np.log(x[y > 1e-15]), np.log(y[y > 1e-15]), 1)
-        start = (float(np.exp(log_a)), float(s))
-    found = solve_bounded(power_law, x, y, start, [1e-30, -20], [1e30, 30])
+    points = np.array([(p, q) for p, q in zip(np.asarray(percent, float), np.asarray(share, float), strict=True) if p > 0 and np.isfinite(p) and np.isfinite(q)]).reshape(-1, 2)
+    x, y = points.T
+    found = solve_bounded(power_law, x, y, _straight_line(np.log(x), y), [1e-30, -20], [1e30, 30]) if len(x) > 1 else None
     if found is None:
         return {"success": False, "a": None, "s": None, "r_squared": None, "n_points": len(x)}
-    spread = float(((y - y.mean()) ** 2).sum())
-    r2 = 1 - float(((y - power_law(x, *found)) ** 2).sum()) / spread if spread > 1e-15 else 0.0
-    return {"success": True, "a": float(found[0]), "s": float(found[1]), "r_squared": r2, "n_points": len(x)}
+    varies = len(y) * float(y.var()) > 1e-15
+    return {"success": True, "a": float(found[0]), "s": float(found[1]), "r_squared": r_squared(y, power_law(x, *found)) if varies else 0.0, "n_points": len(x)}
+
+
+def _straight_line(log_x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, s) of the line through the logs of the points above 0, where two of them differ; else a flat guess."""
+    above = y > 1e-15
+    u, v = log_x[above], np.log(y[above])
+    if len(u) < 2 or np.ptp(u) == 0:
+        return 1e-4, 1.0
+    s = float(((u - u.mean()) * (v - v.mean())).sum() / ((u - u.mean()) ** 2).sum())
+    return math.exp(float(v.mean()) - s * float(u.mean())), s
 
 
 def gini(s: float | None) -> float | None:

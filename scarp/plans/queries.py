@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from scarp.functions import fits
 from scarp.functions.metrics import bits
 from scarp.functions.scaling import scale_pairs
-from scarp.functions.special import t_two_sided
 from scarp.operators import cliffs, compounds, correlation, fitted, geometry, graph, pairs, plotdata, probe, runs, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -375,12 +374,16 @@ def binned_pearson(spark, d):
     return rounded(correlation.binned_pearson(pair_table(spark, d)))
 
 
-@query()
+# the t distribution's density is summed up by Simpson's rule
+@query(f"""{_S}, b(bin, lo, hi) AS (VALUES {_bins_sql(0.05)}), x AS (
+  SELECT lo, count(sim) AS n, CASE WHEN count(sim) >= 3 AND stddev_pop(sim) > 1e-10 AND stddev_pop(lr) > 1e-10 THEN corr(sim, lr) END AS r FROM b LEFT JOIN s ON {_IN} GROUP BY lo, hi),
+t AS (SELECT lo, n, r, (n - 2)::DOUBLE AS v, least(abs(r) * sqrt((n - 2) / (1 - r * r)), CASE WHEN n > 32 THEN 60 ELSE 10000 END) AS t FROM x WHERE r IS NOT NULL),
+i AS (SELECT lo, any_value(t) / 6000 * sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(t * k / 2000, 2) / v, -(v + 1) / 2)) AS a FROM t, range(2001) q(k) GROUP BY lo)
+SELECT round(x.lo, 6) AS bin_lower, x.n AS n_pairs, round(x.r, 6) AS pearson_r, round(greatest(0, 1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * a), 5) AS p_value FROM x LEFT JOIN t USING (lo) LEFT JOIN i USING (lo)""")
 def binned_pearson_p(spark, d):
     """With two-sided p values, which need the incomplete beta function."""
-    rows = correlation.binned_pearson(pair_table(spark, d)).collect()  # a row per bin
-    out = [(x["bin_lower"], x["n_pairs"], x["pearson_r"], None if x["pearson_r"] is None else float(t_two_sided(x["pearson_r"], x["n_pairs"]))) for x in rows]
-    return spark.createDataFrame(out, "bin_lower double, n_pairs long, pearson_r double, p_value double")
+    found = correlation.with_p_values(correlation.binned_pearson(pair_table(spark, d)))
+    return rounded(found.select("bin_lower", "n_pairs", "pearson_r", F.greatest(r("p_value", 5), F.lit(0.0)).alias("p_value")))
 
 
 @query(f"""{_S}, b(bin, lo, hi) AS (VALUES {_bins_sql(0.05)}), r AS (
