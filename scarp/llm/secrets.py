@@ -28,7 +28,10 @@ FEATURES = ("length", "digits", "capitals", "changes", "distinct", "hex", "separ
 
 
 def candidates(documents: DataFrame) -> DataFrame:
-    """doc_id, place (among the document's candidates), candidate, before, after for whole texts."""
+    """doc_id, place (among the document's candidates), candidate, before, after for whole texts.
+
+    Null and empty texts have none; one that occurs again is another candidate, with its own place.
+    """
     some = documents.select("doc_id", "text").filter(F.col("text").rlike(_CANDIDATE) | F.col("text").rlike(rf"{_ASSIGNED}[\"']?[^\s\"']"))
     # a lookbehind takes the shortest fit, so the context either fills its size or begins its line
     before = rf"((?:^|(?<=\n))[^\n]{{0,{_BEFORE - 1}}}|[^\n]{{{_BEFORE}}})"
@@ -43,7 +46,7 @@ def candidates(documents: DataFrame) -> DataFrame:
 
 
 def dictionary(*texts: DataFrame) -> DataFrame:
-    """word: the different words of three or more letters a-z in the given tables' texts."""
+    """word: the different words of three or more letters a-z in the given tables' texts; null and empty texts have none."""
     words = None
     for t in texts:
         own = t.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}])([a-z]{3,})(?![\p{L}])"), 1)).alias("word"))
@@ -159,7 +162,8 @@ def scan(documents: DataFrame, forest: list[str], words: DataFrame, threshold: f
     Null and empty texts have no candidates; equal rows give equal findings as often as they
     occur; a table without candidates gives no rows. Columns besides doc_id and text are not used.
     """
-    judged = features(candidates(documents), words)
+    # found once: their features need them twice
+    judged = features(materialize(candidates(documents), "candidates"), words)
     for i, tree in enumerate(forest):
         judged = judged.withColumn(f"_t{i}", F.expr(tree))
     mean = sum((F.col(f"_t{i}") for i in range(len(forest))), F.lit(0.0)) / len(forest)
