@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scarp.functions import fits
-from scarp.functions.metrics import bits
+from scarp.functions.metrics import bits, get_metric
 from scarp.functions.scaling import scale_pairs
 from scarp.operators import cliffs, compounds, correlation, fitted, geometry, graph, pairs, plotdata, probe, runs, stats
 
@@ -65,8 +65,10 @@ def compound_table(spark: SparkSession, d: str, binary: bool = False) -> DataFra
 
 def pair_table(spark: SparkSession, d: str, metric: str = "cosine") -> DataFrame:
     binary = metric in ("tanimoto", "dice", "hamming", "sokal_michener")
-    raw = kept(spark, (d, "pairs", metric), lambda: pairs.pair_table(compound_table(spark, d, binary), metric))
-    return scale_pairs(raw, metric)
+    raw = lambda: pairs.pair_table(compound_table(spark, d, binary), metric)
+    if get_metric(metric).upper_bound is not None:
+        return kept(spark, (d, "pairs", metric), lambda: scale_pairs(raw(), metric))
+    return scale_pairs(kept(spark, (d, "pairs", metric), raw), metric)  # whose cutoff reads the pairs first
 
 
 def mmp_list(spark: SparkSession, d: str) -> DataFrame:
