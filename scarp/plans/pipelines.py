@@ -238,7 +238,10 @@ def report(summary: dict, fractions: list[dict], ranks: list[dict]) -> str:
 
 
 def embed(spark: SparkSession, config: dict) -> str:
-    """Write the table of vectors, statistics of activities, their differences, lengths, centers and projections, and the plot tables; returns its path."""
+    """Write the table of vectors, statistics of activities, their differences, lengths, centers and projections, and the plot tables; returns its path.
+
+    A config with log_ratios false leaves out the differences, whose number grows with the square of the compounds.
+    """
     dataset = datasets.resolve(config)
     methods = config.get("methods") or [m for m in FEATURIZERS if m == "hashed_ngrams"]
     rows = datasets.read_compounds(spark, dataset).withColumn("compound_id", F.trim("structure"))
@@ -254,6 +257,7 @@ def embed(spark: SparkSession, config: dict) -> str:
         found["mixture"] = mixture | {f"q{q}": fits.mixture_quantile(q / 100, mixture) for q in (5, 25, 50, 75, 95)}
         sinks.write_table(plotdata.mixture_quantiles(held, "log_activity", mixture), plots, "activity_quantiles")
         sinks.write_table(stats.histogram(held, "log_activity", 50), plots, "activity")
+    if mixture and config.get("log_ratios", True):  # as many as there are pairs of compounds
         sinks.write_table(pairs.log_ratios(held), plots, "log_ratios")
         ratios = spark.read.parquet(f"{plots}/log_ratios")
         found["log_ratio"] = _rows(stats.summary(ratios, "lr", (25, 75, 90, 95, 99)))[0]
