@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontaminate, lines, mixing, passages, quality, secrets, simhash, tokens
+from . import chat, ctw, decontaminate, lines, merkle, mixing, passages, quality, secrets, simhash, tokens
 from .common import new_path
 
 
@@ -97,6 +97,15 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, checked after its capitals were changed where 5 divides a hash of doc_id; null doc_ids come first and stay as they are."""
+    documents = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lowered).otherwise(F.col("text"))
+    found = merkle.verify(merkle.manifest(documents, also={"tampered": merkle.leaf(["doc_id", "source", "lang", "n_chars", changed])}), "tampered")
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 _OP9_SQL = r"""
 WITH doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -145,6 +154,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_context_tree": op10_context_tree,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL = {
