@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontaminate, lines, merkle, mixing, passages, quality, secrets, simhash, tokens
+from . import chat, ctw, decontaminate, langid, lines, merkle, mixing, passages, quality, secrets, simhash, tokens, variants
 from .common import new_path
 
 
@@ -97,6 +97,20 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; null texts and texts without letters are `und`, null doc_ids are training texts."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.train(documents.filter(~held_out), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    found = langid.predict(documents.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each word of at least 7 code points that occurs twice; null texts have none, equal rows count each."""
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document, checked after its capitals were changed where 5 divides a hash of doc_id; null doc_ids come first and stay as they are."""
     documents = table(spark, sf_dir, "documents")
@@ -143,6 +157,95 @@ SELECT doc_id, count(*) FILTER (WHERE counts) AS n_lines, count(*) FILTER (WHERE
 FROM marked GROUP BY doc_id
 """
 
+#: crc32, which DuckDB lacks: its table of 256 values, and the sum of a list of bytes.
+_CRC_TABLE = """crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc_sql(text: str) -> str:
+    """Of a text of ASCII and U+00C0 to U+00FF, beside crc_table."""
+    octets = f"flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [195, unicode(ch)::BIGINT - 64] END))"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_OP12_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, w, count(*) AS c FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents)
+  WHERE length(w) >= 7 GROUP BY doc_id, w),
+hashed AS (SELECT w, c, {_crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM runs, crc_table),
+v AS MATERIALIZED (
+  SELECT word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+wild AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS k FROM places),
+gone AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS d FROM places),
+links AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM wild a JOIN wild b ON a.k = b.k AND a.word <> b.word
+  UNION ALL SELECT g.word, v.word, v.n FROM gone g JOIN v ON g.d = v.word
+  UNION ALL SELECT v.word, g.word, g.n FROM gone g JOIN v ON g.d = v.word),
+best AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, m FROM links QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+formed AS MATERIALIZED (
+  SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+way AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT way.word, formed.form FROM way JOIN formed ON formed.word = way.root WHERE formed.form IS NOT NULL),
+ends AS (SELECT way.word, way.root FROM way JOIN formed ON formed.word = way.root WHERE formed.form IS NULL)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
+def _tree_sql(name: str, leaves: str, group: str, order: str, levels: int) -> str:
+    """name0 to name<levels>: the nodes of each level (g, i, d, n) of one tree for each group; a group of one node keeps it."""
+    steps = [f"{name}0 AS MATERIALIZED (SELECT {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS i, d, count(*) OVER (PARTITION BY {group}) AS n, key FROM {leaves})"]
+    for k in range(levels):
+        steps.append(f"""{name}{k + 1} AS MATERIALIZED (SELECT g, i // 16 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE any_value(d) END AS d,
+  (any_value(n) + 15) // 16 AS n FROM {name}{k} GROUP BY g, i // 16)""")
+    return ",\n".join(steps)
+
+
+def _way_sql(name: str, levels: int) -> str:
+    """<name>_way: for each leaf the digests left and right of its way, level by level, as lists (empty where its group has one node)."""
+    sides = [
+        f"(SELECT coalesce(string_agg(x.d, '' ORDER BY x.i), '') FROM {name}{k} x WHERE x.g IS NOT DISTINCT FROM l.g AND x.i // 16 = l.i // {16 ** (k + 1)} AND x.i {side} l.i // {16**k})"
+        for k in range(levels) for side in "<>"
+    ]
+    return f"{name}_way AS (SELECT g, i, key, d, [{', '.join(sides)}] AS sides, {', '.join(f'(l.n > {16**k}) AS up{k}' for k in range(levels))} FROM {name}0 l)"
+
+
+def _fold_sql(digest: str, way: str, levels: int) -> str:
+    for k in range(levels):
+        digest = f"CASE WHEN {way}.up{k} THEN sha256({way}.sides[{2 * k + 1}] || {digest} || {way}.sides[{2 * k + 2}]) ELSE {digest} END"
+    return digest
+
+
+def _leaf_sql(text: str) -> str:
+    values = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END" for v in values) + ")"
+
+
+#: Four levels of 16 a source and three of sources: 65,536 documents of a source, 4,096 sources; more would need more levels here.
+_OP13_SQL = f"""
+WITH {_CRC_TABLE},
+changed AS (
+  SELECT *, CASE WHEN {_crc_sql("coalesce(doc_id::VARCHAR, '')")} % 5 = 0 AND doc_id IS NOT NULL THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+  FROM documents, crc_table),
+leaves AS MATERIALIZED (SELECT doc_id, source, {_leaf_sql('text')} AS d, {_leaf_sql('other')} AS key FROM changed),
+{_tree_sql('a', 'leaves', 'source', 'doc_id NULLS FIRST, d', 4)},
+subroots AS (SELECT g AS key, d FROM a4),
+{_tree_sql('b', 'subroots', '0', 'key NULLS FIRST', 3)},
+{_way_sql('a', 4)},
+{_way_sql('b', 3)},
+ids AS (SELECT doc_id, source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d) - 1 AS i FROM leaves),
+ways AS (
+  SELECT doc_id, a_way.d AS leaf, b_way.d AS subroot, (SELECT d FROM b3) AS root, sha256(list_aggregate(a_way.sides, 'string_agg', '') || list_aggregate(b_way.sides, 'string_agg', '')) AS proof_sha256,
+    {_fold_sql('a_way.key', 'a_way', 4)} AS up, b_way
+  FROM ids JOIN a_way ON a_way.g IS NOT DISTINCT FROM ids.g AND a_way.i = ids.i JOIN b_way ON b_way.key IS NOT DISTINCT FROM ids.g),
+folded AS (SELECT *, {_fold_sql('up', 'b_way', 3)} AS folded_root FROM ways)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -154,6 +257,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_context_tree": op10_context_tree,
+    "op11_language_id": op11_language_id,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -161,4 +266,6 @@ SQL = {
     "op1_chat_format": _OP1_SQL,
     "op6_site_lines": _OP6_SQL,
     "op9_decontaminate": _OP9_SQL,
+    "op12_spelling_variants": _OP12_SQL,
+    "op13_merkle_manifest": _OP13_SQL,
 }
