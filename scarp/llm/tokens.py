@@ -48,15 +48,18 @@ class Encoder:
     not white space, and a line feed between two such characters is a token of its own. So a
     text's ids are those of the pieces cut there. Pieces recur: Arrow cuts a batch of texts and finds its
     different pieces, only the unknown ones are encoded, and a worker remembers those of
-    late. Texts in which white space meets white space, or that begin or end with it, and all texts of
-    other kinds of tokenizers go to the library as they are.
+    late. Texts in which white space meets white space, or that begin or end with it, those that hold the string of a special
+    token, and all texts of other kinds of tokenizers go to the library as they are. A special token's string in a
+    text is that token, as the library has it; with plain_specials it is ordinary text.
     """
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        specials = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = "|".join(map(re.escape, specials))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
@@ -156,15 +159,19 @@ class Encoder:
             return np.concatenate([end[:0], *found]), np.fromiter(map(len, found), np.int64, len(found))
         if not len(texts):
             return end[:0], np.empty(0, np.int64)
+        given, special = texts, np.zeros(len(texts), bool)
+        if self.specials:
+            special = pc.match_substring_regex(texts, self.specials).to_numpy(zero_copy_only=False)
+            texts = pc.if_else(pa.array(special), pa.scalar("", texts.type), texts) if special.any() else texts
         # "\0" marks what no space precedes: the first piece of each line
         lines = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("", texts.type), texts, pa.scalar("\0", texts.type)), "\n", " \n \0")
         cut = pc.split_pattern(lines, " ")
         bounds = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.values.dictionary_encode()
         codes = self._pieces(coded.dictionary)[coded.indices.to_numpy()]
-        odd = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False) | (np.minimum.reduceat(codes, bounds[:-1]) < 0)
+        odd = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False) | (np.minimum.reduceat(codes, bounds[:-1]) < 0) | special
         whole = np.flatnonzero(odd)
-        others = [end, *(self._odd(t) for t in texts.take(pa.array(whole)).to_pylist())]
+        others = [end, *(self._library([t])[0] if marked else self._odd(t) for t, marked in zip(given.take(pa.array(whole)).to_pylist(), special[whole].tolist(), strict=True))]
         stop = len(self.sizes)
         ids = np.concatenate((self.ids, *others))
         sizes = np.concatenate((self.sizes, [len(x) for x in others]))
@@ -203,9 +210,9 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, dtype: str) -> Encoder:
+def encoder(path: str, dtype: str, plain_specials: bool = False) -> Encoder:
     """This worker process's own, so that tasks share what it remembers."""
-    key = (path, dtype)
+    key = (path, dtype, plain_specials)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]
@@ -215,7 +222,7 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def _write(path: str, tokenizer: str, end_id: int, dtype: str):
+def _write(path: str, tokenizer: str, end_id: int, dtype: str, plain_specials: bool):
     def run(batches):
         from pyspark import TaskContext
 
@@ -223,7 +230,7 @@ def _write(path: str, tokenizer: str, end_id: int, dtype: str):
         part = task.partitionId()
         where, base = _open(path)
         trial = f"{base}/trial-{part}-{task.taskAttemptId()}"
-        encode = encoder(tokenizer, dtype)
+        encode = encoder(tokenizer, dtype, plain_specials)
         lengths, docs, nulls = [], [], 0
         with where.open_output_stream(f"{trial}.ids") as out:
             for batch in batches:
@@ -255,21 +262,22 @@ def vocabulary_of(tokenizer: str) -> int:
     return Tokenizer.from_file(tokenizer).get_vocab_size()
 
 
-def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0, vocabulary: int | None = None) -> dict:
+def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0, vocabulary: int | None = None, plain_specials: bool = False) -> dict:
     """Encode doc_id, text in ascending doc_id order into files below `path`; returns the index.
 
     Null texts are empty, so they have the end id alone. Null doc_ids come first; documents with
     the same doc_id (which must be numbers) are ordered by a hash of the text, then the text, and may lie in
     several partitions; equal rows stay. Other columns are not read. An empty table gives an index
     without documents. `path` is a URI that executors and driver share. Ids take 16 bits if the
-    vocabulary (by default the tokenizer file's) allows it, else 32.
+    vocabulary (by default the tokenizer file's) allows it, else 32. The string of a special token in a text becomes that
+    token, unless plain_specials asks for ordinary text.
     """
     dtype = "<u2" if (vocabulary or vocabulary_of(tokenizer)) <= 1 << 16 else "<u4"
     where, base = _open(path)
     where.create_dir(base, recursive=True)
     order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
     ordered = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    written = map_batches(ordered, _write(path, tokenizer, end_id, dtype), "part long, docs long, nulls long, ids long")
+    written = map_batches(ordered, _write(path, tokenizer, end_id, dtype, plain_specials), "part long, docs long, nulls long, ids long")
     parts, base_ids = [], 0
     for row in sorted(written.collect()):  # a row per partition
         parts.append({"part": row["part"], "docs": row["docs"], "nulls": row["nulls"], "ids": row["ids"], "base": base_ids})
@@ -281,7 +289,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
 
 
 def load(path: str, part: int, kind: str, dtype: str) -> np.ndarray:
-    """One file as an array: memory-mapped where it is local, else read."""
+    """One file as an array: memory-mapped where it is local, else read; empty if the partition has no rows."""
     where, base = _open(path)
     name = f"{base}/part-{part:06d}.{kind}"
     if where.get_file_info(name).size == 0:

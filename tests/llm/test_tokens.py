@@ -64,3 +64,18 @@ def test_wide_ids_and_other_tokenizers(spark):
     index = tokens.write_tokens(docs, path, queries.tokenizer_path("word_bpe_49k.json"), end_id=49407, vocabulary=1 << 20)
     part = [tokens.load(path, p["part"], "ids", index["dtype"]) for p in index["parts"]]
     assert index["dtype"] == "<u4" and sum(map(len, part)) == index["ids"] and sum(int((p == 49407).sum()) for p in part) == 2
+
+
+def test_special_tokens_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["<|endoftext|> a <|endoftext|>", "x<|endoftext|>y", "a  <|endoftext|>\n b", "<|endoftext", *ODD]
+    assert by_text(tokens.Encoder(queries.tokenizer_path(), "<u2"), texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert library.encode(texts[0], add_special_tokens=False).ids.count(50256) == 2
+    path = new_path(spark, "plain")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens.write_tokens(docs, path, queries.tokenizer_path(), plain_specials=True)
+    library.encode_special_tokens = True
+    want = [zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for t in texts]
+    assert [r["ids_crc32"] for r in tokens.read_tokens(spark, path).orderBy("doc_id").collect()] == want
