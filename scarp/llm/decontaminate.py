@@ -231,10 +231,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, columns: Sequence[
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_windows: int = PASS_WINDOWS) -> DataFrame:
-    """documents without those that hold a benchmark window; nothing is shuffled."""
+    """documents without those that hold a benchmark window; null texts and equal rows stay, an empty benchmark drops nothing."""
     distinct = item_windows(benchmark, window).select("size", "hash", "print").distinct()
     names = documents.columns
     held = [f"_column{i}" for i in range(len(names))]
-    carried = documents.select(*[F.col(n).alias(h) for n, h in zip(names, held, strict=True)], "text")
+    carried = documents.select(*[F.col(f"`{n}`").alias(h) for n, h in zip(names, held, strict=True)], F.col("text").cast("string").alias("text"))
     marked = find_windows(carried, materialize(distinct, "windows"), held, pass_windows)
     return marked.filter("size(_windows) = 0").select(*[F.col(h).alias(n) for n, h in zip(names, held, strict=True)])

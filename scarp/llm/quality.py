@@ -229,7 +229,7 @@ def assess(documents: DataFrame, model: Trees | None, columns: Sequence[str] = (
     words. One row for each row of documents, which may hold anything else besides.
     """
     names = [f"_c{i}" for i in range(len(columns))]
-    given = [F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]
+    given = [F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)]
     own = "text" not in columns  # a text that is returned anyway is not sent twice
     text = "_text" if own else names[list(columns).index("text")]
     rows = documents.select(*given, *[F.col("text").cast("string").alias("_text")] * own)
@@ -248,11 +248,11 @@ def assess(documents: DataFrame, model: Trees | None, columns: Sequence[str] = (
     fields = rows.drop("_text").schema
     for part in f"{_COUNT_SCHEMA}, base_failed boolean, score double, kept boolean".split(", "):
         fields = fields.add(*part.split(" "))
-    return map_batches(rows, run, fields).withColumnsRenamed(dict(zip(names, columns, strict=True)))
+    return map_batches(rows, run, fields).toDF(*columns, *fields.names[len(columns) :])
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns."""
+    """The documents that are kept, with their own columns; null and short texts go, equal rows share their fate, an empty table gives none."""
     kept = assess(documents, train(documents, labels), documents.columns)
     names = documents.columns
     held = [f"_d{i}" for i in range(len(names))]  # the table may have columns named like the statistics

@@ -11,7 +11,7 @@ ROWS = [
     (0, None, "a"), (1, "", "a"), (2, "one", None), (3, "one two", "b"), (4, LONG, "b"), (5, LONG, "c"), (5, LONG, "c"), (6, "   \n\t ", "a"),
     (None, "no id at all here", "a"), (None, None, None), (7, "x" * 100_000, "b"), (8, "same line\nsame line\nother", "c"), (9, "é ñ ü 中文 x y", "a"), (9, "another text, same id", "a"),
 ]
-EXTRA = {"size": 1, "rate": 2.0, "hash": 3, "fp": 4, "kept": 5, "rest": "x", "copies": 7, "cleaned": "y", "n_words": 8, "seed": 9, "tid": 10, "_text": "z", "key": 1, "row": 2, "score": 3}
+EXTRA = {"size": 1, "rate": 2.0, "hash": 3, "fp": 4, "kept": 5, "rest": "x", "copies": 7, "cleaned": "y", "n_words": 8, "seed": 9, "tid": 10, "_text": "z", "key": 1, "row": 2, "score": 3, "meta.url": "u"}
 
 
 def documents(spark, rows=ROWS):
