@@ -116,11 +116,12 @@ def format_chat(conversations: DataFrame, loss_role: str = "assistant") -> DataF
     return whole.select("conv_id", "formatted", proved.alias("turns"), "loss_spans", "n_escaped")
 
 
-def digest(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Counts and hashes of what format_chat() returned."""
+def digest(formatted: DataFrame) -> DataFrame:
+    """Counts and hashes of what format_chat() returned; the loss texts are cut from `formatted` by loss_spans and unescaped."""
     turns = F.col("turns")
     all_text = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
+    masked = F.transform("loss_spans", lambda s: unescape_text(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    loss = F.array_join(masked, "")
     return formatted.select(
         "conv_id",
         F.size(turns).cast("long").alias("n_turns"),
