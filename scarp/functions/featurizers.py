@@ -142,14 +142,23 @@ register_encoder("chemeleon", _message_passing("data/chemeleon_mp.pt"))
 
 
 def featurize(compounds: DataFrame, methods: list[str], **options) -> DataFrame:
-    """compounds with one vector column per method; rows that a method cannot read are left out, unless it is OPTIONAL."""
+    """compounds (pos, structure) with one vector column per method; rows that a method cannot read are left out, unless it is OPTIONAL."""
+    from scarp.operators import structures
+
     for m in methods:
-        if m not in FEATURIZERS:
-            raise ValueError(f"unknown featurizer {m!r}; known: {', '.join(sorted(FEATURIZERS))}")
+        if m not in FEATURIZERS and m not in structures.FINGERPRINTS:
+            raise ValueError(f"unknown featurizer {m!r}; known: {', '.join(sorted([*FEATURIZERS, *structures.FINGERPRINTS]))}")
     # only circular fingerprints take the options; the others keep their own sizes
-    columns = {m: FEATURIZERS[m](F.col("structure"), **(options if m in ("morgan", "hashed_ngrams") else {})) for m in methods}
+    columns = {m: FEATURIZERS[m](F.col("structure"), **(options if m in ("morgan", "hashed_ngrams") else {})) for m in methods if m in FEATURIZERS}
     needed = [m for m in methods if m not in OPTIONAL]
     found = compounds.withColumns(columns)
+    joined = [m for m in methods if m not in FEATURIZERS]
+    if joined:
+        read = structures.Structures(compounds, bool(options.get("chirality")))
+        for m in joined:
+            kind = {k: v for k, v in options.items() if k == "radius" and m == "circular"}
+            own = structures.bits(structures.FINGERPRINTS[m](read, **kind), read.read, options.get("n_bits") or 1024)
+            found = found.join(own.withColumnRenamed("embedding", m), "pos", "left")
     return found.dropna(subset=needed) if needed else found
 
 

@@ -13,20 +13,19 @@ from scarp.functions import fits
 from scarp.functions.featurizers import FEATURIZERS, OPTIONAL, check_reuse, featurize
 from scarp.functions.metrics import get_metric
 from scarp.functions.scaling import scale_pairs
-from scarp.operators import cliffs, compounds, correlation, fitted, geometry, graph, pairs, plotdata, runs, stats
-from scarp.sources import datasets, sinks
+from scarp.operators import cliffs, compounds, correlation, fitted, geometry, graph, pairs, plotdata, runs, stats, structures, umap
+from scarp.operators.differences import Differences
+from scarp.sources import datasets, figures, sinks
 
 log = logging.getLogger(__name__)
 
 DEFAULTS = {
     "activity_threshold": 1.0, "similarity_threshold": None, "center": False, "large_coords_to_trim": None, "scaling_function": "linear",
-    "scaling_cutoff_percentile": 99.0, "seed": 42, "n_compounds": None, "n_bits": None, "radius": None, "chirality": None,
+    "scaling_cutoff_percentile": 99.0, "seed": 42, "n_compounds": None, "n_bits": None, "radius": None, "chirality": None, "matrices": True, "figures": True,
 }
 OPTIONS = ("n_bits", "radius", "chirality")
 #: Where embed writes and analyze looks unless a config says otherwise.
 EMBEDDINGS = "embeddings"
-#: Compounds up to which analyze also writes dense matrices, which the driver holds.
-MATRIX_COMPOUNDS = 5000
 
 
 def _options(config: dict) -> dict:
@@ -39,6 +38,17 @@ def _stored_options(path: str) -> dict | None:
     return json.loads(record.read_text()) if record.exists() else None
 
 
+def _named(rows: DataFrame, config: dict) -> DataFrame:
+    """Compounds with compound_id: the trimmed structure, or with `"structure_keys": true` the key that all ways to write a molecule share (rows that cannot be read are left out)."""
+    if not config.get("structure_keys"):
+        return rows.withColumn("compound_id", F.trim("structure"))
+    named = structures.with_key(rows)
+    bad = rows.join(named.select("pos"), "pos", "left_anti").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).first()
+    if bad["n"]:
+        log.warning("%d structures cannot be read, the first in row %d; they are left out", bad["n"], bad["pos"])
+    return named
+
+
 def load(spark: SparkSession, config: dict) -> tuple[DataFrame, datasets.Dataset]:
     """The compounds of a config: repeats removed (the first stays), vectors attached.
 
@@ -59,7 +69,7 @@ def load(spark: SparkSession, config: dict) -> tuple[DataFrame, datasets.Dataset
         rows = compounds.with_activity(rows, dataset.unit, dataset.censor_threshold)
         rows = compounds.head(rows, config["n_compounds"]) if config.get("n_compounds") else rows
     else:
-        raw = datasets.read_compounds(spark, dataset, config.get("n_compounds")).withColumn("compound_id", F.trim("structure"))
+        raw = _named(datasets.read_compounds(spark, dataset, config.get("n_compounds")), config)
         rows = featurize(raw, [method], **_options(config)).withColumnRenamed(method, "embedding").filter("embedding IS NOT NULL")
         bad = raw.join(rows.select("pos"), "pos", "left_anti").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).first()
         if bad["n"]:
@@ -91,7 +101,7 @@ def subset_block(subset: DataFrame, threshold: float) -> dict:
     zero = _rows(correlation.zero_fraction(found))[0]
     return block | {
         "statistics": {x.pop("measure"): x for x in _rows(correlation.subset_stats(found))}, "histogram": _rows(correlation.lipschitz_histogram(slopes)),
-        "kww_fit": kww, "kww_theoretical": fits.kww_theory(kww["a"], kww["k"], kww["b"]), "distance_beta_fit": fitted.beta_distance(found, "distance_scaled"),
+        "kww_fit": kww, "kww_theoretical": fits.kww_theory(kww["a"], kww["k"], kww["b"]), "distance_beta_fit": fitted.beta_distance(found, "distance_scaled", cut=0.99),
         "n_zero": zero["n_zero"], "zero_fraction": zero["zero_fraction"],
     }
 
@@ -109,7 +119,7 @@ def _listed(spark: SparkSession, path: str | None) -> tuple[DataFrame | None, di
 
 
 def analyze(spark: SparkSession, config: dict, table: DataFrame | None = None, listed: DataFrame | None = None, name: str | None = None) -> str:
-    """Run every analysis and write tables, plot tables, summary.json and report.md; returns the run's folder.
+    """Run every analysis and write tables, plot tables, dense matrices (unless the config says `"matrices": false`), summary.json and report.md; returns the run's folder.
 
     `table` gives the compounds instead of the config's data set. The pair table is written once
     and every analysis reads it from there. A pair list that cannot be read is recorded, not an error.
@@ -167,7 +177,9 @@ def analyze(spark: SparkSession, config: dict, table: DataFrame | None = None, l
     elif wrong:
         subsets["listed"] = wrong
     _plot_tables(p, folder, listed, shares, power, kww, beta, race)
-    if n <= MATRIX_COMPOUNDS:
+    if config["figures"]:
+        figures.write_figures(spark, f"{folder}/plots")
+    if config["matrices"]:
         sinks.write_matrices(p, f"{folder}/matrices", {"distance": "distance_scaled_structure", "similarity": "similarity", "log_ratio": "log_ratio"})
     summary = {
         "run": run, "name": name, "config": config, "n_compounds": n, "universe": universe,
@@ -240,11 +252,12 @@ def report(summary: dict, fractions: list[dict], ranks: list[dict]) -> str:
 def embed(spark: SparkSession, config: dict) -> str:
     """Write the table of vectors, statistics of activities, their differences, lengths, centers and projections, and the plot tables; returns its path.
 
-    A config with log_ratios false leaves out the differences, whose number grows with the square of the compounds.
+    The differences of all pairs are summed up without being made; a config with log_ratios false leaves them out. Vectors of one
+    length are projected by their neighbourhoods too (umap_n_neighbors, umap_min_dist and seed), unless `"umap": false`.
     """
     dataset = datasets.resolve(config)
     methods = config.get("methods") or [m for m in FEATURIZERS if m == "hashed_ngrams"]
-    rows = datasets.read_compounds(spark, dataset).withColumn("compound_id", F.trim("structure"))
+    rows = _named(datasets.read_compounds(spark, dataset), config)
     rows = compounds.keep_first(featurize(rows, methods, **_options(config)))
     path = config.get("output_file", f"{EMBEDDINGS}/{dataset.name}.parquet")
     rows.write.mode("overwrite").parquet(path)
@@ -257,14 +270,17 @@ def embed(spark: SparkSession, config: dict) -> str:
         found["mixture"] = mixture | {f"q{q}": fits.mixture_quantile(q / 100, mixture) for q in (5, 25, 50, 75, 95)}
         sinks.write_table(plotdata.mixture_quantiles(held, "log_activity", mixture), plots, "activity_quantiles")
         sinks.write_table(stats.histogram(held, "log_activity", 50), plots, "activity")
-    if mixture and config.get("log_ratios", True):  # as many as there are pairs of compounds
-        sinks.write_table(pairs.log_ratios(held), plots, "log_ratios")
-        ratios = spark.read.parquet(f"{plots}/log_ratios")
-        found["log_ratio"] = _rows(stats.summary(ratios, "lr", (25, 75, 90, 95, 99)))[0]
-        kww = fitted.kww(ratios, "lr", 50)
+    ratios = Differences(held, "log_activity") if mixture and config.get("log_ratios", True) else None
+    if ratios and ratios.pairs:
+        found["log_ratio"] = (summary := _rows(ratios.summary())[0])
+        density, n = ratios.density(50)
+        points = sorted(_rows(density), key=lambda r: r["bin"])
+        curve = [[r[c] for r in points] for c in ("center", "density")]
+        kww = fits.fit_kww(*curve, n)
         found["log_ratio_kww"] = kww | fits.kww_theory(kww["a"], kww["k"], kww["b"])
-        found["log_ratio_gaussian"] = fitted.generalized_gaussian(ratios, "lr")
-        sinks.write_table(plotdata.curve_with_fit(stats.density(stats.truncated(ratios, "lr"), "lr", 50), "center", "density", fits.kww, [kww[k] for k in ("a", "k", "b")]), plots, "log_ratio")
+        found["log_ratio_gaussian"] = fits.fit_generalized_gaussian(*curve, summary["mean"], summary["std"])
+        sinks.write_table(plotdata.curve_with_fit(density, "center", "density", fits.kww, [kww[k] for k in ("a", "k", "b")]), plots, "log_ratio")
+        sinks.write_table(ratios.histogram(50), plots, "log_ratio_histogram")
     for m in methods:
         own = held.withColumn("embedding", F.col(m)).filter("embedding IS NOT NULL")
         if not own.agg(compounds.stackable().alias("s")).first()["s"]:
@@ -274,6 +290,12 @@ def embed(spark: SparkSession, config: dict) -> str:
         found[m] = {"length": _rows(stats.summary(lengths, "length"))[0], "center": _rows(geometry.center_stats(own))[0]}
         for key, df in {"lengths": stats.histogram(lengths, "length", 50), "coordinates": plotdata.coordinates(own), "from_center": stats.histogram(plotdata.distance_from_center(own), "distance", 50), "pca2": compounds.projection(own)}.items():
             sinks.write_table(df, f"{plots}/{m}", key)
+        if config.get("umap", True):
+            settings = {"n_neighbors": config.get("umap_n_neighbors", umap.N_NEIGHBORS), "min_dist": config.get("umap_min_dist", umap.MIN_DIST), "seed": config.get("seed", 42)}
+            sinks.write_table(umap.umap(own, **settings).join(own.select("pos", "log_activity"), "pos"), f"{plots}/{m}", "umap")
+    if config.get("figures", True) and Path(plots).exists():
+        for where in (plots, *[f"{plots}/{m}" for m in methods if Path(plots, m).exists()]):
+            figures.write_figures(spark, where)
     sinks.write_json(f"{path}.summary.json", found)
     return path
 

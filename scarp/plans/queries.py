@@ -6,13 +6,15 @@ from collections import OrderedDict
 from collections.abc import Callable
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scarp.functions import fits
 from scarp.functions.metrics import bits, get_metric
 from scarp.functions.scaling import scale_pairs
-from scarp.operators import cliffs, compounds, correlation, fitted, geometry, graph, pairs, plotdata, probe, runs, stats
+from scarp.operators import cliffs, compounds, correlation, fitted, geometry, graph, pairs, pivots, plotdata, probe, runs, stats, umap
+from scarp.operators.differences import Differences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -444,12 +446,12 @@ def subset_zero_fraction(spark, d):
 
 @query(f"WITH {_C}, u AS (SELECT * FROM c WHERE NOT cens), x AS (SELECT abs(a.la - b.la) AS lr FROM u a JOIN u b ON a.pos < b.pos) {_summary_sql('lr', 'x', (25, 75, 90, 95, 99))}")
 def log_ratio_stats(spark, d):
-    """Activity differences of uncensored compounds."""
-    return rounded(stats.summary(_ratios(spark, d), "lr", (25, 75, 90, 95, 99)))
+    """Activity differences of uncensored compounds, without a row for each pair."""
+    return rounded(_ratios(spark, d).summary())
 
 
-def _ratios(spark, d) -> DataFrame:
-    return kept(spark, (d, "ratios"), lambda: pairs.log_ratios(compound_table(spark, d).filter("NOT censored")))
+def _ratios(spark, d) -> Differences:
+    return Differences(compound_table(spark, d).filter("NOT censored"), "log_activity")
 
 
 @query(f"WITH {_C} SELECT pos, id AS compound_id, round(sqrt(list_dot_product(e, e)), 6) AS length FROM c WHERE NOT cens")
@@ -644,6 +646,112 @@ def fit_mixture(spark, d):
     return spark.createDataFrame([row], "n_values long, p double, mu double, sigma double, a double, b double")
 
 
+def _least_squares_sql(name: str, basis: str, start: tuple[str, str, str], reach: tuple[float, float, float], intercept: bool = False) -> str:
+    """The best share of explained variance over p, q, r of a basis with a linear factor (and intercept), by a grid that closes in on its best point."""
+    error = "regr_syy(y, f) - CASE WHEN regr_sxx(y, f) > 0 THEN regr_sxy(y, f) * regr_sxy(y, f) / regr_sxx(y, f) ELSE 0 END" if intercept else "sum(y * y) - CASE WHEN sum(f * f) > 0 THEN sum(y * f) * sum(y * f) / sum(f * f) ELSE 0 END"
+    return f"""{name}_grid(i, p, q, r) AS (
+  SELECT 0, ({start[0]})::DOUBLE, ({start[1]})::DOUBLE, ({start[2]})::DOUBLE
+  UNION ALL SELECT i + 1, p, q, r FROM (
+    SELECT i, p, q, r, row_number() OVER (ORDER BY e, p, q, r) AS n FROM (
+      SELECT i, p, q, r, {error} AS e FROM (
+        SELECT i, p, q, r, y, {basis} AS f FROM (
+          SELECT i, p + u * {reach[0]} * pow(0.75, i) AS p, q + v * {reach[1]} * pow(0.75, i) AS q, r + w * {reach[2]} * pow(0.75, i) AS r
+          FROM {name}_grid, (VALUES (-1.0), (-0.5), (0.0), (0.5), (1.0)) a(u), (VALUES (-1.0), (-0.5), (0.0), (0.5), (1.0)) b(v), (VALUES {"(-1.0), (-0.5), (0.0), (0.5), (1.0)" if reach[2] else "(0.0)"}) d(w) WHERE i < 70), pts WHERE fit = '{name}')
+      GROUP BY i, p, q, r)) WHERE n = 1),
+{name}_fit AS (SELECT '{name}' AS fit, count(*) AS n_points, 1 - ({error}) / regr_syy(y, y) AS r_squared
+  FROM (SELECT y, {basis} AS f FROM pts, (SELECT p, q, r FROM {name}_grid WHERE i = 70) WHERE fit = '{name}'))"""
+
+
+_DENSITY = """{name}_v AS (SELECT {x} AS x FROM lip WHERE {x} <= (SELECT quantile_cont({x}, 0.99) FROM lip)), {name}_e AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS total FROM {name}_v),
+{name}_n AS (SELECT least(floor((x - lo) / (hi - lo) * {bins}), {bins} - 1) AS bin, count(*) AS n FROM {name}_v, {name}_e GROUP BY 1),
+{name}_d AS (SELECT lo + (bin + 0.5) * (hi - lo) / {bins} AS x, n / total / ((hi - lo) / {bins}) AS y FROM {name}_n, {name}_e)"""
+
+
+@query(f"""WITH RECURSIVE {_S[5:]}{_RANKED}, w(percent_rank) AS (VALUES {_PERCENTS}), cl AS (SELECT count(*) AS cliffs FROM s WHERE lr >= 1),
+{_DENSITY.format(name="kww", x="l", bins=100)},
+{_DENSITY.format(name="gauss", x="lr", bins=50)},
+pts AS MATERIALIZED (
+  SELECT 'sigmoid' AS fit, t::DOUBLE AS x, (count(*) FILTER (WHERE sim IS NOT NULL AND lr >= 1) / (SELECT count(*) FROM s))::DOUBLE AS y FROM (SELECT round(i * 0.05::DOUBLE, 2) AS t FROM range(21) r(i)) LEFT JOIN s ON sim >= t GROUP BY t
+  UNION ALL SELECT 'power', percent_rank::DOUBLE, count(*) FILTER (WHERE lr >= 1) / any_value(cliffs) FROM cl CROSS JOIN w JOIN ranked ON rk <= ceil(total * percent_rank / 100.0) GROUP BY percent_rank
+  UNION ALL SELECT 'kww', x, y FROM kww_d UNION ALL SELECT 'gauss', x, y FROM gauss_d),
+{_least_squares_sql("sigmoid", "1 / (1 + exp(least(greatest(exp(p) * (x - least(greatest(q, 0.0), 1.0)), -700), 700)))", ("ln(8)", "0.5", "0"), (2.5, 0.5, 0.0), True)},
+{_least_squares_sql("power", "pow(greatest(x, 1e-9), p)", ("1", "0", "0"), (3.0, 0.0, 0.0))},
+{_least_squares_sql("kww", f"exp(-exp(p) * pow(greatest(x, 0), least(greatest(exp(q), {fits.KWW_B_MIN!r}), {fits.KWW_B_MAX!r})))", ("0", "ln(0.5)", "0"), (4.0, 2.0, 0.0))},
+{_least_squares_sql("gauss", "exp(-pow(abs(x - r) / exp(p), least(greatest(exp(q), 0.1), 20.0)))", ("(SELECT ln(stddev_pop(lr)) FROM lip)", "ln(2)", "(SELECT avg(lr) FROM lip)"), (1.5, 1.5, 1.5))}
+SELECT fit, n_points, round(r_squared, 4) AS r_squared FROM (SELECT * FROM sigmoid_fit UNION ALL SELECT * FROM power_fit UNION ALL SELECT * FROM kww_fit UNION ALL SELECT * FROM gauss_fit)""")
+def fit_residuals(spark, d):
+    """How much the four least-squares fits explain: no point of a closing grid explains more."""
+    p = pair_table(spark, d)
+    points = {}
+    curve = cliffs.cliff_fractions(p).orderBy("similarity_threshold").collect()
+    points["sigmoid"] = ([c["similarity_threshold"] for c in curve], [float(c["cliff_fraction"]) for c in curve])
+    curve = cliffs.rank_curve(p).orderBy("percent_rank").collect()
+    points["power"] = ([float(c["percent_rank"]) for c in curve], [c["cumulative_fraction"] for c in curve])
+    slopes = pairs.valid(correlation.with_lipschitz(p))
+    for name, column, bins in (("kww", "regularized_lipschitz", 100), ("gauss", "log_ratio", 50)):
+        curve = stats.density(stats.truncated(slopes.filter(F.col(column).isNotNull()), column), column, bins).orderBy("bin").collect()
+        points[name] = ([c["center"] for c in curve], [c["density"] for c in curve])
+    mean, std = slopes.agg(F.avg("log_ratio"), F.stddev_pop("log_ratio")).first()
+    found = {
+        "sigmoid": (fits.sigmoid, fits.fit_sigmoid(*points["sigmoid"], max_x=1.0), ("c", "a", "k", "x0")), "power": (fits.power_law, fits.fit_power_law(*points["power"]), ("a", "s")),
+        "kww": (fits.kww, fits.fit_kww(*points["kww"], slopes.count()), ("a", "k", "b")), "gauss": (fits.generalized_gaussian, fits.fit_generalized_gaussian(*points["gauss"], mean, std), ("a", "u", "s", "b")),
+    }
+    rows = []
+    for name, (model, fit, parameters) in found.items():
+        x, y = (np.array(v, float) for v in points[name])
+        rows.append((name, len(x), round(fits.r_squared(y, model(x, *[fit[k] for k in parameters])), 4)))
+    return spark.createDataFrame(rows, "fit string, n_points long, r_squared double")
+
+
+def _psi_sql(x: str) -> str:
+    """Digamma, by its recurrence up to x + 8 and its series there."""
+    y = f"({x} + 8)"
+    return f"(ln{y} - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) + 1 / (240 * {y} ** 8) - ({' + '.join(f'1 / ({x} + {i})' for i in range(8))}))"
+
+
+def _psi1_sql(x: str) -> str:
+    y = f"({x} + 8)"
+    return f"(1 / {y} + 1 / (2 * {y} ** 2) + 1 / (6 * {y} ** 3) - 1 / (30 * {y} ** 5) + 1 / (42 * {y} ** 7) - 1 / (30 * {y} ** 9) + {' + '.join(f'1 / (({x} + {i}) ** 2)' for i in range(8))})"
+
+
+def _beta_sql(name: str, values: str) -> str:
+    """name(a, b): the likeliest beta distribution of the values u of a table, by Newton's method from the moments; name_m: their statistics."""
+    gap = f"(ml - {_psi_sql('a')} + {_psi_sql('(a + b)')})", f"(ml1 - {_psi_sql('b')} + {_psi_sql('(a + b)')})"
+    t, ha, hb = _psi1_sql("(a + b)"), _psi1_sql("a"), _psi1_sql("b")
+    return f"""{name}_m AS MATERIALIZED (SELECT count(*) AS n, avg(u) AS m, var_pop(u) AS v, avg(ln(u)) AS ml, avg(ln(1 - u)) AS ml1 FROM {values}),
+{name}_newton(i, a, b) AS (SELECT 0, m * (m * (1 - m) / v - 1), (1 - m) * (m * (1 - m) / v - 1) FROM {name}_m
+  UNION ALL SELECT i + 1, CASE WHEN a - da > 0 THEN a - da ELSE a / 2 END, CASE WHEN b - db > 0 THEN b - db ELSE b / 2 END FROM (
+    SELECT i, a, b, (fa * (t - hb) - fb * t) / ((t - ha) * (t - hb) - t * t) AS da, (fb * (t - ha) - fa * t) / ((t - ha) * (t - hb) - t * t) AS db
+    FROM (SELECT i, a, b, {gap[0]} AS fa, {gap[1]} AS fb, {t} AS t, {ha} AS ha, {hb} AS hb FROM {name}_newton, {name}_m WHERE i < 60))),
+{name} AS (SELECT a, b FROM {name}_newton WHERE i = 60)"""
+
+
+@query(f"""WITH RECURSIVE {_S[5:]}, u AS (SELECT least(greatest(d, 1e-8), 1 - 1e-8) AS u, greatest(d, 1e-12) AS x FROM s WHERE d IS NOT NULL), {_beta_sql("beta", "u")},
+gm AS MATERIALIZED (SELECT count(*) AS n, avg(x) AS m, avg(ln(x)) AS ml FROM u),
+gamma_newton(i, k) AS (SELECT 0, (3 - z + sqrt((z - 3) ** 2 + 24 * z)) / (12 * z) FROM (SELECT ln(m) - ml AS z FROM gm)
+  UNION ALL SELECT i + 1, CASE WHEN k - step > 0 THEN k - step ELSE k / 2 END FROM (SELECT i, k, (ln(k) - {_psi_sql("k")} - (ln(m) - ml)) / (1 / k - {_psi1_sql("k")}) AS step FROM gamma_newton, gm WHERE i < 60)),
+fitted AS (
+  SELECT 'beta' AS distribution, a AS param1, b AS param2, n * ((a - 1) * ml + (b - 1) * ml1 - lgamma(a) - lgamma(b) + lgamma(a + b)) AS ll FROM beta, beta_m
+  UNION ALL SELECT 'gamma', k, m / k, n * ((k - 1) * ml - k - k * ln(m / k) - lgamma(k)) FROM gamma_newton, gm WHERE i = 60)
+SELECT distribution, round(param1, 4) AS param1, round(param2, 4) AS param2, round(ll, 2) AS log_likelihood FROM fitted""")
+def fit_beta_gamma(spark, d):
+    """The two models of the race whose parameters need Newton's method."""
+    found = [x for x in fitted.race(pair_table(spark, d), "distance_scaled") if x["distribution"] in ("beta", "gamma")]
+    rows = [(x["distribution"], round(x["param1"], 4), round(x["param2"], 4), round(x["log_likelihood"], 2)) for x in found]
+    return spark.createDataFrame(rows, "distribution string, param1 double, param2 double, log_likelihood double")
+
+
+@query(f"""WITH RECURSIVE {_S[5:]}, g AS (SELECT d FROM s WHERE g1 = g2 AND lr >= 1), held AS MATERIALIZED (SELECT d FROM g WHERE d <= (SELECT quantile_cont(d, 0.99) FROM g)),
+e AS (SELECT min(d) AS lo, max(d) AS hi FROM held), u AS MATERIALIZED (SELECT least(greatest((d - lo) / (hi - lo), 1e-9), 1 - 1e-9) AS u FROM held, e), {_beta_sql("beta", "u")}
+SELECT n AS n_values, round(a, 4) AS a, round(b, 4) AS b, round(a / (a + b), 6) AS m, round(lo + a / (a + b) * (hi - lo), 6) AS mean_distance,
+  round(a * b / ((a + b) ** 2 * (a + b + 1)) * (hi - lo) ** 2, 6) AS variance_distance, round(lo, 6) AS scale_lo, round(hi, 6) AS scale_hi FROM beta, beta_m, e""")
+def subset_beta(spark, d):
+    """The beta distribution of a subset block: of the cliffs within groups, up to the 99th percentile of their distances."""
+    f = fitted.beta_distance(pairs.group_pairs(pair_table(spark, d)).filter(pairs.is_cliff()), "distance_scaled", cut=0.99)
+    row = (f["n_values_used"], round(f["a"], 4), round(f["b"], 4), *[round(f[k], 6) for k in ("m", "mean_distance", "variance_distance", "scale_lo", "scale_hi")])
+    return spark.createDataFrame([row], "n_values long, a double, b double, m double, mean_distance double, variance_distance double, scale_lo double, scale_hi double")
+
+
 @query()
 def fit_generalized_gaussian(spark, d):
     return _frame(spark, [fitted.generalized_gaussian(pairs.valid(pair_table(spark, d)), "log_ratio")])
@@ -850,7 +958,51 @@ def plot_vector_lengths(spark, d):
 
 @query(f"WITH {_C}, x AS (SELECT abs(a.la - b.la) AS lr FROM c a JOIN c b ON a.pos < b.pos WHERE NOT a.cens AND NOT b.cens), {_histogram_sql('lr', 'x', 50)}")
 def plot_log_ratios(spark, d):
-    return rounded(stats.histogram(_ratios(spark, d), "lr", 50))
+    return rounded(_ratios(spark, d).histogram(50))
+
+
+_NEAR = ", b AS (SELECT id1 AS i, id2 AS j, ds FROM s UNION ALL SELECT id2, id1, ds FROM s)"
+
+
+@query(f"{_S}{_NEAR}, r AS (SELECT i, j, ds, row_number() OVER (PARTITION BY i ORDER BY ds, j) AS n FROM b) SELECT i, j, n, round(ds, 9) AS distance FROM r WHERE n <= 5")
+def nearest_by_pivots(spark, d):
+    """The five nearest of each compound by the pivot index."""
+    return rounded(pivots.Index(compound_table(spark, d), "cosine").nearest(5), 9)
+
+
+@query(f"{_E}{_NEAR}, r AS (SELECT i, j, ds, row_number() OVER (PARTITION BY i ORDER BY ds, j) AS n FROM b) SELECT i, j, n, round(ds, 9) AS distance FROM r WHERE n <= 14")
+def nearest_by_pivots_euclidean(spark, d):
+    return rounded(pivots.Index(compound_table(spark, d), "euclidean").nearest(14), 9)
+
+
+@query(f"{_S} SELECT pos1, pos2, id1, id2, round(ds, 9) AS distance FROM s WHERE ds <= 0.7")
+def similar_pairs_by_pivots(spark, d):
+    """Pairs of a similarity of 0.65 or more by the pivot index."""
+    return rounded(pivots.Index(compound_table(spark, d), "cosine").within(0.7), 9)
+
+
+@query(f"WITH {_C} SELECT count(*) AS n_compounds, 14::BIGINT AS k, true AS enough FROM c")
+def umap_neighbour_recall(spark, d):
+    """Whether the descent finds at least nine in ten of the 14 nearest of all compounds, held against the pivot index."""
+    c = compound_table(spark, d).withColumn("censored", F.lit(False))
+    ids = c.select("pos", "compound_id")
+    truth = pivots.Index(c, "euclidean").nearest(14).join(ids.withColumnsRenamed({"pos": "pos", "compound_id": "i"}), "i").withColumnRenamed("pos", "p")
+    truth = truth.join(ids.withColumnsRenamed({"pos": "q", "compound_id": "j"}), "j").select("p", "q")
+    found = umap.nearest(c, 14).select(F.col("pos").alias("p"), F.col("other").alias("q"))
+    both = truth.join(found.withColumn("hit", F.lit(1)), ["p", "q"], "left").agg(F.count("hit").alias("hits"), F.count("*").alias("n"))
+    return both.crossJoin(c.agg(F.count("*").alias("n_compounds"))).select("n_compounds", F.lit(14).cast("long").alias("k"), (F.col("hits") >= 0.9 * F.col("n")).alias("enough"))  # one row each
+
+
+@query(f"WITH {_C} SELECT pos, 14::BIGINT AS n, round(log2(15), 4) AS total FROM c")
+def umap_memberships(spark, d):
+    """A compound's memberships add up to log2(15), whatever its distances."""
+    found = umap.memberships(umap.nearest(compound_table(spark, d), 14))
+    return rounded(found.groupBy("pos").agg(F.count("*").alias("n"), F.sum("weight").alias("total")), 4)
+
+
+@query()
+def umap_projection(spark, d):
+    return rounded(umap.umap(compound_table(spark, d)).select("compound_id", "pos", "x", "y"))
 
 
 @query()

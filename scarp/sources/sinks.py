@@ -8,7 +8,9 @@ import math
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def plain(value):
@@ -44,22 +46,60 @@ def coordinates(pairs: DataFrame, value: str) -> DataFrame:
     return pairs.filter(f"{value} IS NOT NULL").selectExpr("id1 AS i", "id2 AS j", f"{value} AS value")
 
 
-def write_matrices(pairs: DataFrame, folder: str | Path, values: dict[str, str]) -> list[str]:
-    """Each named pair column as a dense .npy matrix, and the order of its ids as JSON; for as many compounds as fit the driver."""
-    ids = [r["id"] for r in pairs.selectExpr("explode(array(id1, id2)) AS id").distinct().orderBy("id").collect()]
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    for name, column in values.items():
-        np.save(Path(folder, f"{name}.npy"), dense(pairs, column, ids))
-    write_json(Path(folder, "matrix_keys.json"), ids)
+def write_matrices(pairs: DataFrame, folder: str | Path, values: dict[str, str], band: int = 256) -> list[str]:
+    """Each named pair column as a dense symmetric .npy matrix, and the order of its ids as JSON; returns the ids.
+
+    Of any size: the files are laid out at their full size first, each task fills bands of rows at their places, one row
+    in memory at a time, and a file gets its name when all rows are there. A task that runs again writes the same bytes.
+    The folder must be one that driver and executors mount. Pairs without a value are NaN, the diagonal is 0.
+    """
+    ids = [r["id"] for r in pairs.selectExpr("explode(array(id1, id2)) AS id").distinct().orderBy("id").collect()]  # the keys file's own content
+    target, n = Path(str(folder).removeprefix("file://")), len(ids)
+    target.mkdir(parents=True, exist_ok=True)
+    names, columns = list(values), [f"v{k}" for k in range(len(values))]
+    for name in names:
+        np.lib.format.open_memmap(target / f"{name}.npy.part", "w+", np.float64, (n, n)).flush()
+    index = pairs.sparkSession.createDataFrame(list(enumerate(ids)), "at long, id string")
+    one, two = (index.select(F.col("id").alias(f"id{k}"), F.col("at").alias(x)) for k, x in ((1, "i"), (2, "j")))
+    found = pairs.select("id1", "id2", *[F.col(c).cast("double").alias(x) for c, x in zip(values.values(), columns, strict=True)]).join(one, "id1").join(two, "id2").select("i", "j", *columns)
+    both = found.unionByName(found.select(F.col("j").alias("i"), F.col("i").alias("j"), *columns))
+    diagonal = index.select(F.col("at").alias("i"), F.col("at").alias("j"), *[F.lit(0.0).alias(x) for x in columns])
+    rows = both.unionByName(diagonal).withColumn("band", F.floor(F.col("i") / band))
+
+    def fill(batches):
+        files = [np.load(target / f"{name}.npy.part", mmap_mode="r+") for name in names]
+        held = np.full((len(names), n), np.nan)
+        now = -1
+
+        def put():
+            for file, row in zip(files, held, strict=True):
+                file[now] = row
+            held[:] = np.nan
+
+        count = 0
+        for batch in batches:
+            i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+            data = [batch.column(x).to_numpy(zero_copy_only=False) for x in columns]
+            cuts = [0, *(np.flatnonzero(np.diff(i)) + 1).tolist(), len(i)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if i[a] != now:
+                    if now >= 0:
+                        put()
+                    now, count = int(i[a]), count + 1
+                for row, x in zip(held, data, strict=True):
+                    row[j[a:b]] = x[a:b]
+        if now >= 0:
+            put()
+        for file in files:
+            file.flush()
+        yield pa.RecordBatch.from_arrays([pa.array([count])], ["n"])
+
+    done = rows.repartition("band").sortWithinPartitions("i", "j").drop("band").mapInArrow(fill, "n long").agg(F.sum("n")).first()[0] or 0
+    if done != n:
+        raise RuntimeError(f"{done} of {n} rows of the matrices were written")
+    for name in names:
+        (target / f"{name}.npy.part").replace(target / f"{name}.npy")
+    write_json(target / "matrix_keys.json", ids)
     return ids
-
-
-def dense(pairs: DataFrame, value: str, ids: list[str]) -> np.ndarray:
-    """A small symmetric matrix on the driver, NaN where pairs have no value; for as many ids as the caller lists."""
-    at = {k: i for i, k in enumerate(ids)}
-    out = np.full((len(ids), len(ids)), np.nan)
-    np.fill_diagonal(out, 0.0)
-    for row in coordinates(pairs, value).toLocalIterator():
-        if row["i"] in at and row["j"] in at:
-            out[at[row["i"]], at[row["j"]]] = out[at[row["j"]], at[row["i"]]] = row["value"]
-    return out

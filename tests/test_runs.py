@@ -179,3 +179,24 @@ def test_embed_fits_the_mixture_to_all_values(spark, tmp_path):
     path.write_text("smiles,activity\n" + "\n".join(f"C{i},{1 + i % 90}" for i in range(n)) + "\n")
     stored = pipelines.embed(spark, {"dataset": str(path), "methods": ["hashed_ngrams"], "n_bits": 8, "output_file": str(tmp_path / "e.parquet"), "log_ratios": False})
     assert json.loads(Path(f"{stored}.summary.json").read_text())["mixture"]["n_values"] == n
+
+
+def test_matrices_of_any_size_are_filled_by_tasks(spark, tmp_path):
+    from scarp.sources import sinks
+
+    rows = [(f"c{i:03d}", f"c{j:03d}", float(i * 100 + j), None if (i + j) % 7 == 0 else i - j + 0.5) for i in range(70) for j in range(i + 1, 70) if (i, j) != (3, 9)]
+    pairs = spark.createDataFrame([(b, a, x, y) if k % 3 == 0 else (a, b, x, y) for k, (a, b, x, y) in enumerate(rows)], "id1 string, id2 string, d double, s double").repartition(6)
+    ids = sinks.write_matrices(pairs, f"file://{tmp_path}/m", {"distance": "d", "similarity": "s"}, band=8)
+    d, s = (np.load(tmp_path / "m" / f"{k}.npy", mmap_mode="r") for k in ("distance", "similarity"))
+    assert isinstance(d, np.memmap) and d.shape == s.shape == (70, 70) and json.loads((tmp_path / "m" / "matrix_keys.json").read_text()) == ids == sorted(ids)
+    want = np.full((2, 70, 70), np.nan)
+    for k in (0, 1):
+        np.fill_diagonal(want[k], 0)
+    for a, b, x, y in rows:
+        i, j = int(a[1:]), int(b[1:])
+        want[0, i, j] = want[0, j, i] = x
+        want[1, i, j] = want[1, j, i] = np.nan if y is None else y
+    np.testing.assert_array_equal(d, want[0])
+    np.testing.assert_array_equal(s, want[1])
+    assert not list(tmp_path.glob("m/*.part"))
+    assert sinks.write_matrices(pairs.limit(0), tmp_path / "e", {"distance": "d"}) == [] and np.load(tmp_path / "e" / "distance.npy").shape == (0, 0)
