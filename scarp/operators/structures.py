@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scarp.functions.molecules import molecules
+from scarp.sources.shared import written
 
 #: Fixed value: bonds of the longest path.
 LONGEST_PATH = 7
@@ -25,7 +26,7 @@ class Structures:
     """
 
     def __init__(self, compounds: DataFrame, chirality: bool = False):
-        found = molecules(compounds).filter("molecule IS NOT NULL").persist()
+        found = written(molecules(compounds).filter("molecule IS NOT NULL"))
         self.read = found.select("pos", "key")
         bonds = found.select("pos", F.explode("molecule.bonds").alias("x")).select("pos", "x.*")
         self.bonds = bonds.selectExpr("pos", "a AS atom", "b AS other", "order").unionByName(bonds.selectExpr("pos", "b AS atom", "a AS other", "order"))
@@ -76,18 +77,24 @@ class Structures:
     def atom_pairs(self, far: int = FAR) -> DataFrame:
         """pos, hash: of each two atoms by their codes and the number of bonds between them, up to `far`.
 
-        Each round takes the pairs one bond further; those that were met before are left out.
+        Each round takes the pairs one bond further.
         """
-        known = self.atoms.select("pos", F.col("atom").alias("one"), F.col("atom").alias("atom"), F.lit(0).alias("d"))
-        edge = known
+        last = self.atoms.select("pos", F.col("atom").alias("one"), F.col("atom"))
+        before, found = last.limit(0), None
         for d in range(1, far + 1):
-            further = edge.join(self.bonds, ["pos", "atom"]).select("pos", "one", F.col("other").alias("atom")).distinct()
-            edge = further.join(known, ["pos", "one", "atom"], "left_anti").withColumn("d", F.lit(d)).persist()
+            further = last.join(self.bonds, ["pos", "atom"]).select("pos", "one", F.col("other").alias("atom")).distinct()
+            # beside the atoms at one distance are those one bond nearer, as far and one bond further
+            met = last.unionByName(before)
+            edge = written(further.join(met, ["pos", "one", "atom"], "left_anti"))
             if edge.isEmpty():
                 break
-            known = known.unionByName(edge)
+            own = edge.withColumn("d", F.lit(d))
+            found = own if found is None else found.unionByName(own)
+            before, last = last, edge
+        if found is None:
+            return self.atoms.limit(0).select("pos", F.col("code").alias("hash"))
         one, two = (self.atoms.select("pos", F.col("atom").alias(x), F.col("code").alias(c)) for x, c in (("one", "c1"), ("atom", "c2")))
-        both = known.filter("d > 0").join(one, ["pos", "one"]).join(two, ["pos", "atom"])
+        both = found.join(one, ["pos", "one"]).join(two, ["pos", "atom"])
         return both.select("pos", F.xxhash64(F.least("c1", "c2"), F.greatest("c1", "c2"), "d").alias("hash"))
 
 
