@@ -68,7 +68,7 @@ def test_reuse_of_vectors():
 def test_embed_analyze_compare(spark, tmp_path):
     path, _ = csv(tmp_path, 120)
     base = {"dataset": str(path), "embedding_method": "hashed_ngrams", "n_bits": 64, "output_dir": str(tmp_path / "out"), "censor_threshold": 80, "mmp_file": str(tmp_path / "none.csv")}
-    stored = pipelines.embed(spark, base | {"methods": ["hashed_ngrams"], "output_file": str(tmp_path / "e.parquet")})
+    stored = pipelines.embed(spark, base | {"methods": ["hashed_ngrams"], "umap": False, "output_file": str(tmp_path / "e.parquet")})
     assert spark.read.parquet(stored).count() > 50
     embedded = json.loads(Path(f"{stored}.summary.json").read_text())
     assert {"mixture", "log_ratio", "log_ratio_kww", "hashed_ngrams"} <= embedded.keys() and len(spark.read.parquet(f"{stored}.plots/hashed_ngrams/pca2").first()["pc"]) == 2
@@ -177,7 +177,7 @@ def test_embed_fits_the_mixture_to_all_values(spark, tmp_path):
     path = tmp_path / "many.csv"
     n = 100_500
     path.write_text("smiles,activity\n" + "\n".join(f"C{i},{1 + i % 90}" for i in range(n)) + "\n")
-    stored = pipelines.embed(spark, {"dataset": str(path), "methods": ["hashed_ngrams"], "n_bits": 8, "output_file": str(tmp_path / "e.parquet"), "log_ratios": False})
+    stored = pipelines.embed(spark, {"dataset": str(path), "methods": ["hashed_ngrams"], "n_bits": 8, "output_file": str(tmp_path / "e.parquet"), "log_ratios": False, "umap": False})
     assert json.loads(Path(f"{stored}.summary.json").read_text())["mixture"]["n_values"] == n
 
 
